@@ -185,3 +185,60 @@ def global_positions(
     scan = _Positions(group, tie, position, rank, limit)
     schema = T.StructType([*df.schema.fields, T.StructField(position, T.LongType()), T.StructField(rank, T.LongType())])
     return ordered_scan(ordered, scan.summarise, scan.combine, scan.emit, schema)
+
+
+class _Segments:
+    """State of the scan that numbers runs of rows: the last row so far and the runs before it."""
+
+    def __init__(self, columns: list[str], cut: Callable[[dict[str, np.ndarray], dict[str, np.ndarray]], np.ndarray], name: str):
+        self.columns, self.cut, self.name = columns, cut, name
+
+    def _cuts(self, b: pa.RecordBatch, last: dict | None) -> tuple[np.ndarray, dict]:
+        now = {c: b.column(c).to_numpy(zero_copy_only=False) for c in self.columns}
+        head = last or {c: v[0] for c, v in now.items()}
+        before = {c: np.concatenate([[head[c]], v[:-1]]) for c, v in now.items()}
+        cuts = np.asarray(self.cut(before, now), dtype=bool).copy()
+        if last is None:
+            cuts[0] = True
+        return cuts, {c: v[-1] for c, v in now.items()}
+
+    def summarise(self, batches: Iterator[pa.RecordBatch]) -> dict:
+        first, last, n = None, None, 0
+        for b in batches:
+            if first is None:
+                first = {c: b.column(c).to_numpy(zero_copy_only=False)[0] for c in self.columns}
+                last = first
+                cuts, last = self._cuts(b, last)
+                cuts[0] = False
+            else:
+                cuts, last = self._cuts(b, last)
+            n += int(cuts.sum())
+        return {"first": first, "last": last, "cuts": n}
+
+    def combine(self, parts: list[dict]) -> list:
+        out, last, n = [], None, 0
+        for p in parts:
+            out.append((last, n))
+            starts = last is None or bool(self.cut({c: np.array([v]) for c, v in last.items()}, {c: np.array([v]) for c, v in p["first"].items()})[0])
+            n, last = n + p["cuts"] + int(starts), p["last"]
+        return out
+
+    def emit(self, batches: Iterator[pa.RecordBatch], carry: tuple) -> Iterator[pa.RecordBatch]:
+        last, n = carry
+        for b in batches:
+            cuts, last = self._cuts(b, last)
+            number = n + np.cumsum(cuts)
+            n = int(number[-1])
+            names = [x for x in b.schema.names if x != PID]
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(number)], names=[*names, self.name])
+
+
+def global_segments(df: DataFrame, order: list[Column], columns: list[str], cut: Callable[[dict, dict], np.ndarray], name: str = "segment", partitions: int | None = None) -> DataFrame:
+    """Number the runs of a globally sorted table, in its order, from 1.
+
+    ``cut(before, now)`` gets numpy arrays of ``columns`` for each row and the row before it
+    and says where a new run begins. A run may cross any number of partitions.
+    """
+    scan = _Segments(columns, cut, name)
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
+    return ordered_scan(range_sorted(df, order, partitions), scan.summarise, scan.combine, scan.emit, schema)
