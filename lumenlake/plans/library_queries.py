@@ -224,9 +224,9 @@ def scalar_safe_path(t: Tables) -> DataFrame:
 # -- pages and reports -----------------------------------------------------------------
 
 
-@query("SELECT id, relative_path, capture_at FROM photos WHERE active AND capture_at >= '2021-01-01' AND capture_at < '2022-01-01' AND face_count > 0 AND relative_path ILIKE '%library%' ORDER BY capture_at DESC NULLS LAST, id DESC LIMIT 60 OFFSET 0")
+@query("SELECT id, relative_path, capture_at FROM photos WHERE active AND capture_at >= '2024-01-01' AND capture_at < '2025-01-01' AND face_count > 0 AND relative_path ILIKE '%20%' ORDER BY capture_at DESC NULLS LAST, id DESC LIMIT 60 OFFSET 0")
 def library_page(t: Tables) -> DataFrame:
-    rows = B.library(t.photos, year=2021, faces=True, text="library")
+    rows = B.library(t.photos, year=2024, faces=True, text="20")
     return B.page(B.newest_first(rows.select("id", "relative_path", "capture_at")), 1, 60)
 
 
