@@ -84,28 +84,48 @@ class Plan:
         self.b = rng.random((tables, self.k + self.deeper))
         self.salt = rng.integers(1, 2**61, (tables, self.k + self.deeper)) | 1
 
-    def buckets(self, unit: np.ndarray, probing: np.ndarray, hot: dict[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """``(bucket, row, own)`` for all vectors' own buckets and the probes of those in ``probing``.
+    def own(self, unit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each table's own buckets, and one further projection that tells how far their vectors spread."""
+        for t in range(self.tables):
+            projected = unit @ self.a[t][:, : self.k + 1] + self.b[t][: self.k + 1] * self.width
+            cells = np.floor(projected[:, : self.k] / self.width).astype(np.int64)
+            yield _mix(cells, self.salt[t, : self.k]) ^ np.int64(t), projected[:, self.k]
+
+    def buckets(self, ids: np.ndarray, unit: np.ndarray, probing: np.ndarray, hot: dict[int, tuple[int, int, float]]) -> Iterator[tuple[np.ndarray, ...]]:
+        """``(bucket, part, row, own, asks)`` for all vectors' own buckets and the probes of those in ``probing``.
 
-        In a bucket named in ``hot`` so many further projections of half the width
-        tell its vectors apart; a query then probes the bucket's parts.
+        ``hot`` has for crowded buckets the parts, further projections and their width. The
+        queries of a crowded bucket are shared out to its parts and its vectors are in all of
+        them. With further projections its vectors are told apart and queries probe again.
         """
         for t in range(self.tables):
             projected = unit @ self.a[t] + self.b[t] * self.width
             keys = _mix(_cells(projected[:, : self.k] / self.width, self.probes), self.salt[t, : self.k]) ^ np.int64(t)
             for p in range(keys.shape[1]):
                 rows = np.arange(len(unit)) if p == 0 else np.flatnonzero(probing)
-                key = keys[rows, p]
-                depth = np.array([hot.get(int(x), 0) for x in key]) if hot else np.zeros(len(key), dtype=int)
-                cool = depth == 0
-                yield key[cool], rows[cool], np.full(int(cool.sum()), p == 0)
-                for d in np.unique(depth[~cool]):
-                    at = depth == d
-                    part = _cells(projected[rows[at], self.k : self.k + d] / (self.width / 2), 4)
-                    sub = _mix(part, self.salt[t, self.k : self.k + d]) ^ key[at][:, None]
-                    for q in range(sub.shape[1]):
-                        asks = probing[rows[at]] if q or p else np.ones(int(at.sum()), dtype=bool)
-                        yield sub[asks, q], rows[at][asks], np.full(int(asks.sum()), p == 0 and q == 0)
+                key, mine = keys[rows, p], np.full(len(rows), p == 0)
+                crowded = np.isin(key, self._hot(hot)) if hot else np.zeros(len(rows), dtype=bool)
+                calm = ~crowded
+                yield key[calm], np.zeros(int(calm.sum()), dtype=np.int32), rows[calm], mine[calm], probing[rows[calm]]
+                for h in np.unique(key[crowded]):
+                    at = rows[key == h]
+                    parts, depth, width = hot[int(h)]
+                    if depth:
+                        cells = _cells(projected[at, self.k : self.k + depth] / width, 2 * depth)
+                        sub = _mix(cells, self.salt[t, self.k : self.k + depth]) ^ h
+                        for q in range(sub.shape[1]):
+                            base = p == 0 and q == 0
+                            here = np.ones(len(at), dtype=bool) if base else probing[at]
+                            yield sub[here, q], np.zeros(int(here.sum()), dtype=np.int32), at[here], np.full(int(here.sum()), base), probing[at[here]]
+                        continue
+                    turn = ids[at] % parts
+                    for part in range(parts):
+                        here = np.ones(len(at), dtype=bool) if p == 0 else turn == part
+                        yield np.full(int(here.sum()), h), np.full(int(here.sum()), part, dtype=np.int32), at[here], np.full(int(here.sum()), p == 0), probing[at[here]] & (turn[here] == part)
+
+    @staticmethod
+    def _hot(hot: dict) -> np.ndarray:
+        return np.fromiter(hot, dtype=np.int64, count=len(hot))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -138,8 +158,8 @@ def _best(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int, keep: i
     return order[(at - start < keep) & (sim[order] >= edge)]
 
 
-def _search(ids: np.ndarray, codes: np.ndarray, scale: np.ndarray, own: np.ndarray, asks: np.ndarray, least: float, k: int, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates ``(query, other, similarity)`` of one bucket."""
+def _search(ids: np.ndarray, codes: np.ndarray, scale: np.ndarray, own: np.ndarray, asks: np.ndarray, wants: np.ndarray, least: float, k: int, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates ``(query, other, similarity)`` of one bucket: ``asks`` says who queries here, ``wants`` who does at all."""
     base = np.flatnonzero(own)
     if len(base) > 4096:
         # Of equal codes only the smallest identifiers can be among the best: a query needs one more than it keeps.
@@ -159,13 +179,25 @@ def _search(ids: np.ndarray, codes: np.ndarray, scale: np.ndarray, own: np.ndarr
     for at in range(0, len(query), rows):
         q = query[at : at + rows]
         sim = (codes[q].astype(np.float32) @ b) * scale[q][:, None] * sb[None, :]
-        i, j = np.nonzero(sim >= least)
+        hits = sim >= least
+        back_from = ~own[q]
+        if len(base) > 4 * (k + 1) and np.count_nonzero(hits) > 0.05 * sim.size:
+            # Crowded: only what can be among the best of its row, or for probes of its column, is looked at.
+            edge = np.partition(sim, -(k + 1), axis=1)[:, -(k + 1)] - 2 * _CODE_ERROR  # the query itself may be among them
+            near = sim >= np.maximum(edge, least)[:, None]
+            if back_from.sum() > k:
+                column = np.partition(sim[back_from], -k, axis=0)[-k] - 2 * _CODE_ERROR
+                near[back_from] |= sim[back_from] >= np.maximum(column, least)[None, :]
+            else:
+                near[back_from] = hits[back_from]
+            hits = near
+        i, j = np.nonzero(hits)
         other = ids[q[i]] != ids[base[j]]
         i, j = i[other], j[other]
         s, qi, bj = sim[i, j], q[i], base[j]
         best = _best(ids[qi], ids[bj], s, k, keep)
         found.append((ids[qi[best]], ids[bj[best]], s[best]))
-        turned = asks[bj] & ~own[qi]  # what a probe meets may have missed the probe's owner
+        turned = wants[bj] & ~own[qi]  # what a probe meets may have missed the probe's owner
         back.append((ids[bj[turned]], ids[qi[turned]], s[turned]))
         if sum(len(x[0]) for x in back) > 2_000_000:
             o, x, v = (np.concatenate(c) for c in zip(*back, strict=True))
@@ -204,7 +236,8 @@ def nearest(
     valid (see ``valid_vector``) or whose identifier is null take no part; identifiers must be
     longs, and of repeated ones one stands for all. ``width`` is the cell width, ``far`` the distance of
     unrelated unit vectors and ``bucket`` the bucket size from which the number of projections
-    follows. Buckets four times as full are told apart by further projections. The result is
+    follows. The queries of buckets four times as full are shared
+    out to several tasks, and buckets 64 times as full are told apart by further projections. The result is
     approximate: what never shares a bucket isn't found (see the README for measured recall).
     Result: ``identifier, neighbour, similarity, place``.
     """
@@ -214,44 +247,48 @@ def nearest(
     size = rows.count()
     plan = Plan(dim, size, width, far, bucket, tables, seed)
 
-    def spread(hot: dict[int, int], counting: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = _matrix(batch.column("v"), dim)
-                unit = x / np.linalg.norm(x, axis=1)[:, None]
-                probing = batch.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-                if counting:
-                    own = [key for key, _, mine in plan.buckets(unit, np.zeros(len(unit), dtype=bool), {}) if mine.size and mine[0]]
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.concatenate(own))})
-                    continue
-                codes, scale = _codes(unit)
-                ids = batch.column("id").to_numpy()
-                for key, at, own in plan.buckets(unit, probing, hot):
-                    if not len(at):
-                        continue
-                    code = pa.Array.from_buffers(pa.binary(dim), len(at), [None, pa.py_buffer(np.ascontiguousarray(codes[at]))]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[at]), code, pa.array(scale[at]), pa.array(own), pa.array(probing[at])], names=["bucket", "id", "code", "scale", "own", "asks"])
+    def unit_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = _matrix(batch.column("v"), dim)
+        return batch.column("id").to_numpy(), x / np.linalg.norm(x, axis=1)[:, None], batch.column("asks").to_numpy(zero_copy_only=False).astype(bool)
 
-        return run
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                for key, spot in plan.own(unit_rows(batch)[1]):
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(spot)], names=["bucket", "spot"])
+
+    sizes = rows.mapInArrow(measure, "bucket long, spot double").groupBy("bucket").agg(F.count("*").alias("n"), F.stddev_pop("spot").alias("spread"))
+    hot = {}
+    for r in sizes.filter(F.col("n") > 4 * bucket).collect():  # at most size x tables / (4 x bucket) rows
+        deep = r.n > 64 * bucket and r.spread > 1e-6
+        depth = min(plan.deeper, max(1, round(math.log(r.n / bucket) / 0.72))) if deep else 0
+        hot[r.bucket] = (1 if deep else math.ceil(r.n / (4 * bucket)), depth, 2 * r.spread)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, unit, probing = unit_rows(batch)
+            codes, scale = _codes(unit)
+            for key, part, at, own, asks in plan.buckets(ids, unit, probing, hot):
+                if len(at):
+                    code = pa.Array.from_buffers(pa.binary(dim), len(at), [None, pa.py_buffer(np.ascontiguousarray(codes[at]))]).cast(pa.binary())
+                    columns = [pa.array(key), pa.array(part), pa.array(ids[at]), code, pa.array(scale[at]), pa.array(own), pa.array(asks), pa.array(probing[at])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["bucket", "part", "id", "code", "scale", "own", "asks", "wants"])
 
-    counts = rows.mapInArrow(spread({}, True), "bucket long").groupBy("bucket").count()
-    # at most size x tables / (4 x bucket) rows
-    hot = {r["bucket"]: min(plan.deeper, max(1, round(math.log2(r["count"] / bucket)))) for r in counts.filter(F.col("count") > 4 * bucket).collect()}
-    placed = rows.mapInArrow(spread(hot, False), "bucket long, id long, code binary, scale float, own boolean, asks boolean")
+    placed = rows.mapInArrow(spread, "bucket long, part int, id long, code binary, scale float, own boolean, asks boolean, wants boolean")
     keep = 8 * k
 
     def search(table: pa.Table) -> pa.Table:
-        ids, scale, own, asking = (table.column(c).to_numpy() for c in ("id", "scale", "own", "asks"))
+        ids, scale, *flags = (table.column(c).to_numpy() for c in ("id", "scale", "own", "asks", "wants"))
         code = table.column("code").combine_chunks()
         flat = np.frombuffer(b"".join(code.to_pylist()), dtype=np.int8).reshape(-1, dim)
-        q, x, s = _search(ids, flat, scale, own.astype(bool), asking.astype(bool), least - _CODE_ERROR, k, keep)
+        q, x, s = _search(ids, flat, scale, *(f.astype(bool) for f in flags), least - _CODE_ERROR, k, keep)
         start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, np.int64)
         ends = pa.array(np.r_[start, len(q)].astype(np.int32))
         return pa.table({"id": pa.array(q[start]), "others": pa.ListArray.from_arrays(ends, pa.array(x)), "sims": pa.ListArray.from_arrays(ends, pa.array(s))})
 
-    met = placed.groupBy("bucket").applyInArrow(search, "id long, others array<long>, sims array<float>")
+    met = placed.groupBy("bucket", "part").applyInArrow(search, "id long, others array<long>, sims array<float>")
     # per query at most 8k candidates a bucket it came to
     pooled = met.groupBy("id").agg(F.flatten(F.collect_list(F.arrays_zip("others", "sims"))).alias("all"))
     ranked = F.array_sort(F.array_distinct(F.transform("all", lambda e: F.struct((-e["sims"]).alias("far"), e["others"].alias("other")))))
