@@ -21,7 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -178,18 +178,27 @@ def _shipped(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(read_vocabulary(path))
 
 
+def _apart(name: str, columns: list[str]) -> str:
+    """A name that no column has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def encode_texts(df: DataFrame, text: str = "text", ids: str = "ids", path: str = TOKENIZER) -> DataFrame:
-    """``df`` without ``text``, with the token ids of each text as a list of integers.
+    """``df`` without ``text``, with the token ids of each text as a list of integers; a column ``ids`` is replaced.
 
     Whole texts are encoded, without special tokens. An empty or null text gives an empty list.
     """
     vocabulary = _shipped(df.sparkSession, path)
     rest = [c for c in df.columns if c not in (text, ids)]
+    source = _apart("_text", rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _automaton(path, vocabulary).encode
         for b in batches:
-            lists = [encode(t) if t else [] for t in b.column("_text").to_pylist()]
+            lists = [encode(t) if t else [] for t in b.column(source).to_pylist()]
             ends = np.zeros(len(lists) + 1, dtype=np.int32)
             np.cumsum([len(x) for x in lists], out=ends[1:])
             flat = np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(ends[-1]))
@@ -197,35 +206,36 @@ def encode_texts(df: DataFrame, text: str = "text", ids: str = "ids", path: str
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), column], names=[*rest, ids])
 
     schema = T.StructType([*(df.schema[c] for c in rest), T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return df.select(*rest, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return df.select(*rest, F.col(text).alias(source)).mapInArrow(run, schema)
 
 
 def count_tokens(df: DataFrame, text: str = "text", count: str = "n_tokens", path: str = TOKENIZER) -> DataFrame:
     """``df`` without ``text``, with the number of tokens of each text (0 for empty and null)."""
     vocabulary = _shipped(df.sparkSession, path)
     rest = [c for c in df.columns if c not in (text, count)]
+    source = _apart("_text", rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _automaton(path, vocabulary).encode
         for b in batches:
-            n = pa.array([len(encode(t)) if t else 0 for t in b.column("_text").to_pylist()], pa.int64())
+            n = pa.array([len(encode(t)) if t else 0 for t in b.column(source).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), n], names=[*rest, count])
 
     schema = T.StructType([*(df.schema[c] for c in rest), T.StructField(count, T.LongType())])
-    return df.select(*rest, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return df.select(*rest, F.col(text).alias(source)).mapInArrow(run, schema)
 
 
 def decode_ids(df: DataFrame, ids: str = "ids", text: str = "text", path: str = TOKENIZER) -> DataFrame:
     """``df`` without ``ids``, with the text of each id list; null stays null, an empty list gives an empty text."""
     vocabulary = _shipped(df.sparkSession, path)
     rest = [c for c in df.columns if c not in (text, ids)]
+    source = _apart("_ids", rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = _automaton(path, vocabulary).decode
         for b in batches:
-            texts = pa.array([None if x is None else decode(x) for x in b.column("_ids").to_pylist()], pa.string())
+            texts = pa.array([None if x is None else decode(x) for x in b.column(source).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), texts], names=[*rest, text])
 
     schema = T.StructType([*(df.schema[c] for c in rest), T.StructField(text, T.StringType())])
-    source: Column = F.col(ids).alias("_ids")
-    return df.select(*rest, source).mapInArrow(run, schema)
+    return df.select(*rest, F.col(ids).alias(source)).mapInArrow(run, schema)
