@@ -17,11 +17,11 @@ from lumenlake.shared import materialize
 _KM_DEGREE = math.pi * EARTH_RADIUS_KM / 180
 
 
-def _geo_pairs(points: DataFrame, km: float) -> DataFrame:
-    """Ordered pairs ``a, b`` of different points within ``km``, found by a grid join.
+def _geo_pairs(asking: DataFrame, points: DataFrame, km: float) -> DataFrame:
+    """Pairs ``a, b`` of a row of ``asking`` and a different one of ``points`` within ``km`` (both ``id, lat, lon``).
 
-    Cells are ``km`` high and, by their band of latitude, wide enough; a point looks into the
-    cells that its circle can touch, around the date line too.
+    A grid join: cells are ``km`` high and, by their band of latitude, wide enough; a point looks
+    into the cells that its circle can touch, around the date line too.
     """
     deg = km / _KM_DEGREE * 1.000001
     band = F.floor((F.col("lat") + 90) / deg).cast("long")
@@ -35,7 +35,7 @@ def _geo_pairs(points: DataFrame, km: float) -> DataFrame:
 
     base = points.select("id", "lat", "lon", band.alias("b")).withColumn("c", F.pmod(F.floor((F.col("lon") + 180) / width(F.col("b"))).cast("long"), cells(F.col("b"))))
     reach = F.least(F.lit(180.0), 1.001 * deg / F.greatest(F.cos(F.radians(F.least(F.lit(90.0), F.abs("lat") + deg))), F.lit(1e-4)))
-    asks = points.select(F.col("id").alias("a"), F.col("lat").alias("la"), F.col("lon").alias("lo"), "lat", band.alias("b0"), reach.alias("reach"))
+    asks = asking.select(F.col("id").alias("a"), F.col("lat").alias("la"), F.col("lon").alias("lo"), "lat", band.alias("b0"), reach.alias("reach"))
     asks = asks.withColumn("b", F.explode(F.sequence(F.col("b0") - 1, F.col("b0") + 1)))
     low = F.floor((F.col("lo") - F.col("reach") + 180) / width(F.col("b"))).cast("long")
     high = F.floor((F.col("lo") + F.col("reach") + 180) / width(F.col("b"))).cast("long")
@@ -45,16 +45,60 @@ def _geo_pairs(points: DataFrame, km: float) -> DataFrame:
     return met.select("a", F.col("id").alias("b"))
 
 
-def _labels(weights: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
-    """``id, label`` of points in clusters; ``weights`` has ``id, w`` (how many points one stands for)."""
-    around = pairs.join(weights.select(F.col("id").alias("b"), "w"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("near"))
-    core = weights.join(around, "id", "left").filter(F.col("w") + F.coalesce("near", F.lit(0)) >= least).select("id")
-    core = materialize(core, "core")
-    links = pairs.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi").filter("a < b")
+def _touching(points: DataFrame, km: float) -> DataFrame:
+    """Pairs ``a, b`` of dense cells (``cell``) that have points within ``km`` of each other.
+
+    A cell's points are boxed in 64 parts. Boxes that lie within ``km`` as wholes settle a pair
+    of cells; only for pairs that none settles are the points of boxes at the edge compared.
+    """
+    part = lambda x, low, high: F.least(F.lit(7), F.floor((F.col(x) - F.col(low)) / F.greatest(F.col(high) - F.col(low), F.lit(1e-12)) * 8)).cast("int")
+    spans = points.groupBy("cell").agg(F.min("lat").alias("y0"), F.max("lat").alias("y1"), F.min("lon").alias("x0"), F.max("lon").alias("x1"))
+    parted = materialize(points.join(spans, "cell").select("id", "cell", "lat", "lon", (part("lat", "y0", "y1") * 8 + part("lon", "x0", "x1")).alias("part")), "parted")
+    boxes = parted.groupBy("cell", "part").agg(F.min("id").alias("id"), F.min("lat").alias("y0"), F.max("lat").alias("y1"), F.min("lon").alias("x0"), F.max("lon").alias("x1"))
+    boxes = boxes.withColumns({"lat": (F.col("y0") + F.col("y1")) / 2, "lon": (F.col("x0") + F.col("x1")) / 2})
+    corners = [haversine_km("lat", "lon", y, x) for y in ("y0", "y1") for x in ("x0", "x1")]
+    boxes = materialize(boxes.select("id", "cell", "part", "lat", "lon", (F.greatest(*corners) * 1.0001 + 1e-9).alias("r")), "boxes")
+    # a box is at most as large as its cell, whose diagonal is km
+    near = _geo_pairs(boxes.select("id", "lat", "lon"), boxes.select("id", "lat", "lon"), km * 2.01).filter("a < b")
+    side = lambda s: boxes.select(*[F.col(c).alias(f"{c}_{s}") for c in boxes.columns]).withColumnRenamed(f"id_{s}", s)
+    met = near.join(side("a"), "a").join(side("b"), "b").filter("cell_a != cell_b")
+    apart, slack = haversine_km("lat_a", "lon_a", "lat_b", "lon_b"), F.col("r_a") + F.col("r_b")
+    met = met.withColumns({"sure": apart + slack <= km, "perhaps": apart - slack <= km}).filter("perhaps")
+    met = materialize(met.select(F.least("cell_a", "cell_b").alias("p"), F.greatest("cell_a", "cell_b").alias("q"), "cell_a", "part_a", "cell_b", "part_b", "sure"), "met")
+    sure = met.filter("sure").select("p", "q").distinct()
+    open_ = met.join(sure, ["p", "q"], "left_anti")
+    end = lambda s: parted.select(F.col("cell").alias(f"cell_{s}"), F.col("part").alias(f"part_{s}"), F.col("lat").alias(f"y_{s}"), F.col("lon").alias(f"x_{s}"))
+    edge = open_.join(end("a"), ["cell_a", "part_a"]).join(end("b"), ["cell_b", "part_b"]).filter(haversine_km("y_a", "x_a", "y_b", "x_b") <= km)
+    return sure.unionByName(edge.select("p", "q").distinct()).select(F.col("p").alias("a"), F.col("q").alias("b"))
+
+
+def _geo_labels(points: DataFrame, km: float, least: int) -> DataFrame:
+    """``id, label`` of positions (``id, lat, lon, w``) in clusters.
+
+    Positions are sorted into cells whose diagonal is ``km``. All points of a cell with weight
+    enough are cores of one cluster, so such a cell is one vertex and its points are never paired;
+    what lies in thinner cells, a few points each, is compared with everything around it.
+    """
+    side = km / math.sqrt(2) / _KM_DEGREE * 0.9999
+    band = F.floor((F.col("lat") + 90) / side)
+    flat = F.when((band * side <= 90) & ((band + 1) * side >= 90), 0.0).otherwise(F.least(F.abs(band * side - 90), F.abs((band + 1) * side - 90)))
+    column = F.floor((F.col("lon") + 180) / F.least(F.lit(360.0), side / F.greatest(F.cos(F.radians(flat)), F.lit(1e-6))))
+    celled = points.withColumns({"_y": band, "_x": column})
+    weights = celled.groupBy("_y", "_x").agg(F.sum("w").alias("_w"), F.min("id").alias("_first"))
+    celled = celled.join(weights, ["_y", "_x"]).select("id", "lat", "lon", "w", F.when(F.col("_w") >= least, F.col("_first")).alias("cell"))
+    celled = materialize(celled, "celled")
+    dense, thin = celled.filter("cell is not null"), celled.filter("cell is null")
+    pairs = materialize(_geo_pairs(thin, points, km), "near-thin")
+    around = pairs.join(points.select(F.col("id").alias("b"), "w"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("near"))
+    lone = thin.join(around, "id").filter(F.col("w") + F.col("near") >= least).select("id", F.col("id").alias("vertex"))
+    cores = materialize(dense.select("id", F.col("cell").alias("vertex")).unionByName(lone), "cores")
+    to_core = materialize(pairs.join(cores.withColumnsRenamed({"id": "b", "vertex": "vb"}), "b").select("a", "vb"), "to-core")
+    links = to_core.join(lone.select(F.col("id").alias("a")), "a", "left_semi").select("a", F.col("vb").alias("b")).unionByName(_touching(dense, km)).filter("a != b").distinct()
     roots = union_find(links, "a", "b")
-    labelled = materialize(core.join(roots.withColumnRenamed("vertex", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("label")), "core-labels")
-    border = pairs.join(core.withColumnRenamed("id", "a"), "a", "left_anti").join(labelled.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("label"))
-    return labelled.unionByName(border)
+    named = materialize(cores.select("vertex").distinct().join(roots, "vertex", "left").select("vertex", F.coalesce("root", "vertex").alias("label")), "vertex-labels")
+    inner = cores.join(named, "vertex").select("id", "label")
+    border = to_core.join(lone.select(F.col("id").alias("a")), "a", "left_anti").join(named.withColumnRenamed("vertex", "vb"), "vb").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("label"))
+    return inner.unionByName(border)
 
 
 def place_clusters(photos: DataFrame, km: float = 25.0, least: int = 5) -> DataFrame:
@@ -67,45 +111,92 @@ def place_clusters(photos: DataFrame, km: float = 25.0, least: int = 5) -> DataF
     """
     rows = photos.filter("latitude between -90 and 90 and longitude between -180 and 180 and not isnan(latitude) and not isnan(longitude)")
     points = materialize(rows.groupBy(F.col("latitude").alias("lat"), F.col("longitude").alias("lon")).agg(F.min("id").alias("id"), F.count("*").alias("w")), "positions")
-    pairs = materialize(_geo_pairs(points, km), "near-positions")
-    labels = _labels(points.select("id", "w"), pairs, least).join(points, "id")
+    labels = _geo_labels(points, km, least).join(points, "id")
     found = rows.select("id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon")).join(labels.select("lat", "lon", "label"), ["lat", "lon"]).select("id", "label")
     found = materialize(found, "place-labels")
     names = found.groupBy("label").agg(F.min("id").alias("cluster_id"))
     return found.join(names, "label").select("id", "cluster_id")
 
 
-def face_clusters(faces: DataFrame, eps: float = 0.38, least: int = 3, block: int = 4000, dim: int = 128) -> DataFrame:
-    """``face_id, photo_id, cluster_id``: DBSCAN of faces by cosine distance, named by the smallest face.
+def _block_compare(rows: DataFrame, blocks: int, eps: float, dim: int, extra: str, kernel, schema: str) -> DataFrame:
+    """Run ``kernel(left, right, near)`` on each pair of blocks of ``rows`` (``id, v, extra``).
 
-    Vectors that are null, of wrong length, zero or not finite take no part. All pairs are compared,
-    block against block, in tasks of ``block`` rows a side; a task hands on pairs within ``eps`` only.
+    ``left`` and ``right`` are dicts of numpy columns, ``near`` says which of them are within ``eps``
+    (never a row and itself). A row goes to as many tasks as there are blocks.
     """
-    c = F.col("embedding")
-    ok = (F.size(c) == dim) & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(c, lambda x: x != 0)
-    rows = materialize(faces.filter(F.coalesce(ok, F.lit(False)) & F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), "photo_id", c.cast("array<float>").alias("v")).dropDuplicates(["id"]), "faces")
-    blocks = max(1, math.ceil(rows.count() / block))
     mine = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     to = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    spread = rows.select("id", "v", mine.alias("mine"), to.alias("other")).select("id", "v", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    spread = rows.select("id", "v", extra, mine.alias("mine"), to.alias("other")).select("id", "v", extra, "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
 
     def compare(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i, j = (k.as_py() for k in key)
         table = pa.Table.from_batches(list(batches))
-        ids, own = table.column("id").to_numpy(), table.column("mine").to_numpy()
+        own = table.column("mine").to_numpy()
         x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
         x /= np.linalg.norm(x, axis=1)[:, None]
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        for at in range(0, len(left), 512):
-            part = left[at : at + 512]
-            a, b = np.nonzero(x[part] @ x[right].T >= 1 - eps)
-            a, b = ids[part[a]], ids[right[b]]
-            keep = a < b if i == j else np.ones(len(a), dtype=bool)
-            if keep.any():
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a[keep]), "b": pa.array(b[keep])})
-
-    half = materialize(spread.groupBy("i", "j").applyInArrow(compare, "a long, b long"), "near-faces")
-    pairs = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = materialize(_labels(rows.select("id", F.lit(1).alias("w")), pairs, least), "face-labels")
+        pick = lambda at: {c: table.column(c).to_numpy(zero_copy_only=False)[at] for c in ("id", extra)}
+        near = x[left] @ x[right].T >= 1 - eps
+        if i == j:
+            np.fill_diagonal(near, False)
+        out = kernel(pick(left), pick(right), near, i == j)
+        if len(out[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=[c.split()[0] for c in schema.split(", ")])
+
+    return spread.groupBy("i", "j").applyInArrow(compare, schema)
+
+
+def _count(left: dict, right: dict, near: np.ndarray, same: bool) -> tuple[np.ndarray, ...]:
+    if same:
+        return left["id"], near.sum(1).astype(np.int64)
+    return np.concatenate([left["id"], right["id"]]), np.concatenate([near.sum(1), near.sum(0)]).astype(np.int64)
+
+
+def _forest(left: dict, right: dict, near: np.ndarray, same: bool) -> tuple[np.ndarray, ...]:
+    """Each vertex with the smallest one it is linked to within this pair of blocks."""
+    top = np.iinfo(np.int64).max
+    a, b = left["id"].copy(), right["id"].copy()
+    while near.size:
+        to_b = np.minimum(b, np.where(near, a[:, None], top).min(0))
+        to_a = np.minimum(a, np.where(near, to_b[None, :], top).min(1))
+        if (to_a == a).all() and (to_b == b).all():
+            break
+        a, b = to_a, to_b
+    u, v = np.concatenate([left["id"], right["id"]]), np.concatenate([a, b])
+    return u[u != v], v[u != v]
+
+
+def _lowest(left: dict, right: dict, near: np.ndarray, same: bool) -> tuple[np.ndarray, ...]:
+    """For each face without label the lowest label near it (labels are -1 where there is none)."""
+    top = np.iinfo(np.int64).max
+    out = []
+    for x, y, n in ((left, right, near), (right, left, near.T)):
+        best = np.where(n & (y["label"] >= 0)[None, :], y["label"][None, :], top).min(1, initial=top)
+        ok = (x["label"] < 0) & (best < top)
+        out.append((x["id"][ok], best[ok]))
+    return np.concatenate([out[0][0], out[1][0]]), np.concatenate([out[0][1], out[1][1]])
+
+
+def face_clusters(faces: DataFrame, eps: float = 0.38, least: int = 3, block: int = 2000, dim: int = 128) -> DataFrame:
+    """``face_id, photo_id, cluster_id``: DBSCAN of faces by cosine distance, named by the smallest face.
+
+    Vectors that are null, of wrong length, zero or not finite take no part, nor do negative or
+    null ids. All pairs are compared, block against block, in tasks of ``block`` rows a side; a task
+    hands on a row per face (neighbour counts, then a spanning forest, then labels), never its
+    pairs. The work grows with the square of the faces, as the exact rule asks for.
+    """
+    c = F.col("embedding")
+    ok = (F.size(c) == dim) & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(c, lambda x: x != 0)
+    good = faces.filter(F.coalesce(ok, F.lit(False)) & (F.col("id") >= 0))
+    rows = materialize(good.select(F.col("id").cast("long").alias("id"), "photo_id", c.cast("array<float>").alias("v")).dropDuplicates(["id"]), "faces")
+    blocks = max(1, math.ceil(rows.count() / block))
+    counts = _block_compare(rows.withColumn("none", F.lit(0)), blocks, eps, dim, "none", _count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    core = materialize(counts.filter(F.col("n") + 1 >= least).select("id"), "core-faces")
+    links = _block_compare(rows.join(core, "id").withColumn("none", F.lit(0)), blocks, eps, dim, "none", _forest, "u long, v long")
+    roots = union_find(materialize(links, "face-links"), "u", "v")
+    labelled = materialize(core.join(roots.withColumnRenamed("vertex", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("label")), "face-cores")
+    marked = rows.join(labelled, "id", "left").select("id", "v", F.coalesce("label", F.lit(-1)).alias("label"))
+    border = _block_compare(marked, blocks, eps, dim, "label", _lowest, "id long, label long").groupBy("id").agg(F.min("label").alias("label"))
+    labels = materialize(labelled.unionByName(border), "face-labels")
     names = labels.groupBy("label").agg(F.min("id").alias("cluster_id"), F.count("*").alias("n")).filter(F.col("n") >= least)
     return labels.join(names, "label").join(rows.select("id", "photo_id"), "id").select(F.col("id").alias("face_id"), "photo_id", "cluster_id")
