@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.config import Settings
 from lumenlake.functions import scalars as S
+from lumenlake.operators.joins import skew_join
 from lumenlake.operators.ordering import global_positions, global_segments
 from lumenlake.shared import materialize
 
@@ -256,15 +257,15 @@ def union_find(edges: DataFrame, left: str, right: str) -> DataFrame:
     both = edges.filter(F.col(left) != F.col(right)).select(F.explode(F.array(F.struct(F.col(left).alias("u"), F.col(right).alias("v")), F.struct(F.col(right).alias("u"), F.col(left).alias("v")))).alias("e")).select("e.u", "e.v").distinct()
     links = materialize(both, "uf-links")
     roots = materialize(links.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("r")).select(F.col("u").alias("vertex"), F.col("r").alias("root")), "uf-roots")
+    edges_n, n = links.count(), roots.count()
     while True:
-        jumped = roots.alias("a").join(roots.alias("b"), F.col("a.root") == F.col("b.vertex")).select("a.vertex", F.col("b.root").alias("root"))
-        jumped = materialize(jumped, "uf-jump")
-        at = jumped.withColumnsRenamed({"vertex": "v", "root": "rv"})
-        near = links.join(at, "v").groupBy("u").agg(F.min("rv").alias("rv"))
-        hooked = jumped.join(near, jumped.vertex == near.u, "left").select("vertex", "root", F.least("root", F.coalesce("rv", "root")).alias("low"))
-        pull = hooked.groupBy("root").agg(F.min("low").alias("to")).withColumnRenamed("root", "vertex")
-        new = hooked.select("vertex", "root").join(pull.withColumnsRenamed({"vertex": "root", "to": "low"}), "root").select("vertex", F.least("root", "low").alias("root"))
-        new = materialize(new, "uf-roots")
+        above = roots.select(F.col("vertex").alias("root"), F.col("root").alias("up"))
+        jumped = materialize(skew_join(roots, above, ["root"], n).select("vertex", F.col("up").alias("root")), "uf-jump")
+        near = skew_join(links, jumped.withColumnsRenamed({"vertex": "v", "root": "rv"}), ["v"], edges_n).groupBy("u").agg(F.min("rv").alias("rv"))
+        hooked = jumped.join(near.withColumnRenamed("u", "vertex"), "vertex", "left").select("vertex", "root", F.least("root", F.coalesce("rv", "root")).alias("low"))
+        hooked = materialize(hooked, "uf-hook")
+        pull = hooked.groupBy("root").agg(F.min("low").alias("to"))
+        new = materialize(skew_join(hooked.select("vertex", "root"), pull, ["root"], n).select("vertex", F.least("root", "to").alias("root")), "uf-roots")
         changed = new.join(roots.withColumnRenamed("root", "old"), "vertex").filter("root != old").limit(1).count()
         roots = new
         if not changed:
