@@ -34,7 +34,7 @@ def median_rank(df: DataFrame, group: str, identifier: str, scores: list[str], w
         F.col(group).alias("_group"), F.col(identifier).alias("_item"),
         F.posexplode(F.array(*[value(s) for s in scores])).alias("_score", "_value"),
     )
-    ranked = global_positions(long, ["_group", "_score"], [F.col("_value").desc_nulls_last()], ["_value"], "_p", "_rank", partitions=partitions)
+    ranked = global_positions(long, ["_group", "_score"], [F.col("_value").desc_nulls_last(), F.col("_item")], ["_value"], "_p", "_rank", partitions=partitions)
     each = [F.min(F.when(F.col("_score") == k, F.col("_rank"))).alias(f"_r{k}") for k in range(len(scores))]
     wide = ranked.groupBy("_group", "_item").agg(*each)
     ranks = F.array(*[F.col(f"_r{k}") for k in range(len(scores))])
