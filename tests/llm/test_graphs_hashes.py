@@ -132,3 +132,12 @@ def test_crowded_bucket_index_against_direct():
 def test_empty_photos(spark):
     assert N.photo_pairs(_photos(spark, [])).count() == 0
     assert N.photo_groups(_photos(spark, [(1, None, None)])).count() == 0
+
+
+def test_components_with_hot_vertices(spark, monkeypatch):
+    from lumenlake.operators import joins
+
+    monkeypatch.setattr(joins, "HOT_LEAST", 20)
+    rng = random.Random(12)
+    pairs = [(rng.choice([0, 1]), k) for k in range(2, 300)] + [(0, 299)] + [(1000 + k, 1000 + rng.randint(0, k)) for k in range(1, 100)]
+    assert _components(spark, pairs) == _groups(pairs)
