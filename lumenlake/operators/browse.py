@@ -15,6 +15,24 @@ from lumenlake.functions import scalars as S
 ISSUES = ["error", "unsupported", "too_large", "pending", "analyzing"]
 
 
+def optional_bool(text: str | None) -> bool | None:
+    """No filter for nothing, else true or false in any case."""
+    if text in (None, ""):
+        return None
+    if text.casefold() not in ("true", "false"):
+        raise ValueError("true or false is expected")
+    return text.casefold() == "true"
+
+
+def optional_year(text: str | None) -> int | None:
+    if text in (None, ""):
+        return None
+    year = int(text)
+    if not 1900 <= year <= 9998:
+        raise ValueError("year is outside the supported range")
+    return year
+
+
 def library(photos: DataFrame, year: int | None = None, faces: bool | None = None, located: bool | None = None, text: str | None = None) -> DataFrame:
     """Active photos, filtered; ``text`` is looked for in path, city and camera without case, with LIKE's wildcards."""
     out = photos.filter("active")
@@ -74,6 +92,22 @@ def histogram(rows: DataFrame, column: str, count: str = "n") -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias(count))
 
 
+def overview(photos: DataFrame, collections: DataFrame, links: DataFrame, jobs: DataFrame) -> DataFrame:
+    """``what, value, n``: states of photos, collections, links and jobs."""
+    parts = [("photos", photos.filter("active"), "analysis_status"), ("collections", collections, "status"), ("links", links, "decision"), ("jobs", jobs, "status")]
+    out = None
+    for what, rows, column in parts:
+        h = histogram(rows, column).select(F.lit(what).alias("what"), F.col(column).alias("value"), "n")
+        out = h if out is None else out.unionByName(h)
+    return out
+
+
+def photo_json(photos: DataFrame) -> DataFrame:
+    """``id, json``: what is shown of a photo, with nulls written."""
+    shown = F.struct("id", "relative_path", "width", "height", S.place_label().alias("place"), F.date_format("capture_at", "yyyy-MM-dd'T'HH:mm:ss").alias("capture_at"))
+    return photos.select("id", F.to_json(shown, {"ignoreNullFields": "false"}).alias("json"))
+
+
 def link_counts(links: DataFrame) -> DataFrame:
     return links.groupBy("collection_id").agg(F.count("*").alias("total"), F.count_if(F.col("decision") == "keep").alias("kept"), F.count_if(F.col("decision") == "reject").alias("rejected"))
 

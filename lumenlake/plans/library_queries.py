@@ -403,6 +403,47 @@ def reverse_geocode(t: Tables) -> DataFrame:
     return B.nearest_city(t.photos, cities)
 
 
+@query(
+    """SELECT 'photos' AS what, analysis_status AS value, count(*) AS n FROM photos WHERE active GROUP BY 2 UNION ALL SELECT 'collections', status, count(*) FROM collections GROUP BY 2
+UNION ALL SELECT 'links', decision, count(*) FROM collection_photos GROUP BY 2 UNION ALL SELECT 'jobs', status, count(*) FROM jobs GROUP BY 2"""
+)
+def overview(t: Tables) -> DataFrame:
+    return B.overview(t.photos, t.collections, t.collection_photos, t.jobs)
+
+
+@query("SELECT id, to_json({'id': id, 'relative_path': relative_path, 'width': width, 'height': height, 'place': nullif(place_city, ''), 'capture_at': strftime(capture_at, '%Y-%m-%dT%H:%M:%S')})::VARCHAR AS json FROM photos")
+def photo_json(t: Tables) -> DataFrame:
+    return B.photo_json(t.photos)
+
+
+@query("SELECT id, kind, status FROM jobs WHERE status IN ('completed', 'failed') AND id < 15 ORDER BY id DESC LIMIT 5")
+def jobs_page(t: Tables) -> DataFrame:
+    return B.page_after(t.jobs.filter("status in ('completed', 'failed')").select("id", "kind", "status"), 15, 5)
+
+
+@query("SELECT id, kind FROM jobs WHERE status IN ('running', 'queued') ORDER BY created_at, id LIMIT 1")
+def job_claim(t: Tables) -> DataFrame:
+    """After a restart: the running job is queued again and claimed."""
+    return I.claim(I.recover(t.photos, t.jobs)[1]).select("id", "kind")
+
+
+@query("SELECT id, CASE WHEN face_count > 2 THEN 5 ELSE manual_rating END AS manual_rating FROM photos")
+def rate_photos(t: Tables) -> DataFrame:
+    return K.rate(t.photos, t.photos.filter("face_count > 2").select("id", F.lit(5).alias("rating"))).select("id", "manual_rating")
+
+
+@query("SELECT id, CASE WHEN score > 0.8 THEN 'keep' ELSE decision END AS decision, CASE WHEN score > 0.8 THEN 'best' ELSE note END AS note FROM collection_photos")
+def decide_links(t: Tables) -> DataFrame:
+    changes = t.collection_photos.filter("score > 0.8").select("id", F.lit("keep").alias("decision"), F.lit("best").alias("note"))
+    return K.decide(t.collection_photos, changes).select("id", "decision", "note")
+
+
+@query("SELECT id, CASE WHEN kind = 'event' THEN trim('My ' || coalesce(title, 'own')) ELSE title END AS title, CASE WHEN kind = 'event' THEN false ELSE automatic END AS automatic FROM collections")
+def rename_collections(t: Tables) -> DataFrame:
+    changes = t.collections.filter("kind = 'event'").select("id", F.concat(F.lit("My "), F.coalesce("title", F.lit("own"))).alias("title"))
+    return K.rename_collections(t.collections, changes).select("id", "title", "automatic")
+
+
 # -- inventory -------------------------------------------------------------------------
 
 

@@ -121,6 +121,10 @@ def test_pages_and_sections(spark):
     s = B.date_sections(B.page(ordered, 1, 23), "year").orderBy("section_no").collect()
     assert [r.section for r in s][0] == "2025" and s[-1].section == "unknown" and s[-1].section_no == 3
     assert [r.id for r in B.page_after(photos, 5, 2).collect()] == [4, 3]
+    assert B.optional_bool("TRUE") is True and B.optional_bool("") is None and B.optional_year("2024") == 2024 and B.optional_year(None) is None
+    for call, text in ((B.optional_bool, "maybe"), (B.optional_year, "1"), (B.optional_year, "x")):
+        with pytest.raises(ValueError):
+            call(text)
     with pytest.raises(ValueError):
         B.library(photos, year=1)
     with pytest.raises(ValueError):
