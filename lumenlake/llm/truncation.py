@@ -32,7 +32,7 @@ _BITS = 18
 _LIMIT_FEATURES = 5
 _TAIL = 240
 _STOPS = ".!?。！？؟।"
-_ELLIPSIS = re.compile(r"\s*(\[\s*(…|\.{3})\s*\]|\(\s*(…|\.{3})\s*\)|…|\.{3,}|&hellip;)\s*$")
+_ELLIPSIS = re.compile(r"\s*(\[\s*(?:…|\.{3})\s*\]|\(\s*(?:…|\.{3})\s*\)|…|\.{3}|&hellip;)$")
 _SENTENCE_END = re.compile(r"[.!?。！？؟।][\"'”’»」』)\]]*(?=\s|$)|[。！？]|\n")
 _WORD = re.compile(r"[^\W\d_]+")
 _LAST_WORD = re.compile(r"[^\W\d_]+$")
@@ -47,12 +47,8 @@ def split_ellipsis(text: str) -> tuple[str, str]:
     m = _ELLIPSIS.search(core)
     if not m:
         return core, ""
-    mark = m.group(0).strip()
-    inner = core[: m.start()]
-    if mark.startswith("...") and inner[-1:] in ".":
-        inner = core[: m.start()]
-    kind = "box" if mark[0] in "[(" else "dots"
-    return inner.rstrip(), kind
+    # of four dots the first is the sentence's own
+    return core[: m.start()].rstrip(), "box" if m.group(1)[0] in "[(" else "dots"
 
 
 def shape_of(text: str) -> str:

@@ -154,7 +154,7 @@ def test_truncation_edges(spark):
 
 def test_ends_and_structure():
     assert T.split_ellipsis("and then […]") == ("and then", "box") and T.split_ellipsis("It ended. …") == ("It ended.", "dots")
-    assert T.split_ellipsis("It ended....")[1] == "dots" and T.split_ellipsis("It ended.") == ("It ended.", "")
+    assert T.split_ellipsis("It ended....") == ("It ended.", "dots") and T.split_ellipsis("and then...") == ("and then", "dots") and T.split_ellipsis("It ended.") == ("It ended.", "")
     assert T.structure_of('{"a": 1}', "json") == "ok" and T.structure_of('{"a": [1', "json") == "open"
     assert T.structure_of('a,b\n1,"x, y"', "csv") == "ok" and T.structure_of('a,b\n1,"x', "csv") == "open"
     assert T.shape_of("a; b; c") == "list" and T.shape_of("2025-01-01T10:00:00Z INFO x") == "log" and T.shape_of("One, two.") == "prose"
