@@ -133,3 +133,34 @@ def analyse_images(files: DataFrame, settings: Settings = Settings(), decoder=de
             yield pa.RecordBatch.from_pylist(rows, to_arrow_schema(schema))
 
     return files.select("path", "content").mapInArrow(run, schema)
+
+
+def encode_jpeg(image: np.ndarray, size: int, settings: Settings = Settings()) -> bytes:
+    """A progressive JPEG of at most ``size`` pixels a side. Needs Pillow."""
+    from PIL import Image
+
+    picture = Image.fromarray(image)
+    picture.thumbnail((size, size))
+    out = io.BytesIO()
+    picture.save(out, format="JPEG", quality=settings.jpeg_quality, optimize=True, progressive=True)
+    return out.getvalue()
+
+
+def derivatives(files: DataFrame, settings: Settings = Settings(), decoder=decode, encoder=encode_jpeg) -> DataFrame:
+    """``path, kind, content`` of thumbnails and previews of ``binaryFile`` rows, to be written as a table.
+
+    A file that can't be read gives none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                try:
+                    image = decoder(content, settings)[0]
+                    rows += [{"path": path, "kind": k, "content": encoder(image, n, settings)} for k, n in (("thumbs", settings.thumb_size), ("previews", settings.preview_size))]
+                except Exception:  # reported by analyse_images
+                    continue
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("kind", pa.string()), ("content", pa.binary())]))
+
+    return files.select("path", "content").mapInArrow(run, "path string, kind string, content binary")

@@ -14,6 +14,7 @@ from lumenlake.functions import scalars as S
 from lumenlake.functions.geo import haversine_km
 from lumenlake.operators.curation import dominant_place, members
 from lumenlake.operators.joins import skew_join
+from lumenlake.operators.ordering import global_positions
 from lumenlake.shared import materialize
 
 
@@ -31,13 +32,23 @@ def location_days(photos: DataFrame, radius_km: float) -> DataFrame:
     near = skew_join(rows, seeds, ["day"], rows.count()).filter(haversine_km("sa", "so", "latitude", "longitude") <= radius_km)
     near = materialize(near, "near-seed")
     unwrapped = F.pmod(F.col("longitude") - F.col("so") + 180, F.lit(360.0)) - 180 + F.col("so")
-    middle = near.groupBy("day").agg(F.median("latitude").alias("ma"), F.median(unwrapped).alias("mo"))
-    middle = middle.select("day", "ma", (F.pmod(F.col("mo") + 180, F.lit(360.0)) - 180).alias("mo"))
+    middle = _medians(near.select("day", "latitude", unwrapped.alias("longitude")))
+    middle = middle.select("day", F.col("latitude").alias("ma"), (F.pmod(F.col("longitude") + 180, F.lit(360.0)) - 180).alias("mo"))
     voted = skew_join(near, middle, ["day"], near.count())
     best = F.min_by(F.struct("latitude", "longitude"), F.struct(haversine_km("ma", "mo", "latitude", "longitude"), F.col("t_us"), F.col("id")))
     return voted.groupBy("day").agg(best.alias("p")).select("day", "p.latitude", "p.longitude")
 
 
+def _medians(rows: DataFrame) -> DataFrame:
+    """``day, latitude, longitude``: exact medians a day, from global positions, so that a day may have any size."""
+    counts = F.broadcast(rows.groupBy("day").agg(F.count("*").alias("n")))  # one row a calendar day
+    long = rows.select("day", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("latitude").alias("v")), F.struct(F.lit(1).alias("k"), F.col("longitude").alias("v")))).alias("e")).select("day", "e.k", "e.v")
+    placed = global_positions(long, ["day", "k"], [F.col("v")], [], "place", "_tie").join(counts, "day")
+    middle = placed.filter((F.col("place") == F.floor((F.col("n") + 1) / 2)) | (F.col("place") == F.floor(F.col("n") / 2) + 1))
+    pick = lambda k: F.avg(F.when(F.col("k") == k, F.col("v")))
+    return middle.groupBy("day").agg(pick(0).alias("latitude"), pick(1).alias("longitude"))
+
+
 def _km(a: tuple, b: tuple) -> float:
     la, lo, lb, lob = map(math.radians, (*a, *b))
     h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((lob - lo) / 2) ** 2

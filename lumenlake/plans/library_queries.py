@@ -13,6 +13,7 @@ from lumenlake.functions.geo import haversine_km
 from lumenlake.operators import browse as B
 from lumenlake.operators import ingest as I
 from lumenlake.operators import persist as K
+from lumenlake.operators.ordering import global_positions
 
 NOW = datetime(2025, 6, 1)
 _SQL_NOW = "TIMESTAMP '2025-06-01 00:00:00'"
@@ -499,15 +500,13 @@ gone AS (SELECT * FROM collections c WHERE id NOT IN (SELECT id FROM nc) AND (NO
 
 def _suggested(t: Tables) -> tuple[DataFrame, DataFrame]:
     """A rebuild as after photos have gone: version 2 collections with what is left of them."""
-    from pyspark.sql import Window
-
     left = t.photos.filter("active and analysis_status = 'done'").select(F.col("id").alias("photo_id"), "capture_at")
     c = t.collections.filter("algorithm_version = 2").select(F.col("id").alias("collection_id"), "collection_key", "kind", "title", "cover_photo_id")
     links = K.newest_links(t.collection_photos).select("collection_id", "photo_id").join(left, "photo_id").join(c, "collection_id")
     new = links.groupBy("collection_key", "kind", F.upper("title").alias("title"), "cover_photo_id").agg(F.min("capture_at").alias("starts_at"), F.max("capture_at").alias("ends_at"))
     new = new.withColumns({"description": F.lit("Rebuilt."), "score": F.lit(0.5)})
-    order = Window.partitionBy("collection_key").orderBy("photo_id")
-    return new, links.select("collection_key", "photo_id", F.row_number().over(order).cast("int").alias("rank_no"), F.lit(0.5).alias("score"), F.lit("left").alias("reason"))
+    placed = global_positions(links.select("collection_key", "photo_id"), ["collection_key"], [F.col("photo_id")], [], "rank_no", "_tie")
+    return new, placed.select("collection_key", "photo_id", F.col("rank_no").cast("int").alias("rank_no"), F.lit(0.5).alias("score"), F.lit("left").alias("reason"))
 
 
 @query(

@@ -78,6 +78,8 @@ def test_images_in_batches(spark):
     good = bytes(range(256)) + bytes(44)
     df = spark.createDataFrame([("a", bytearray(good)), ("b", bytearray(b"bad"))], "path string, content binary")
     got = {r.path: r for r in P.analyse_images(df, decoder=decoder).collect()}
+    small = P.derivatives(df, decoder=decoder, encoder=lambda image, n, s: bytes(f"{image.shape[0]}:{n}", "ascii")).collect()
+    assert {(r.path, r.kind, bytes(r.content)) for r in small} == {("a", "thumbs", b"10:360"), ("a", "previews", b"10:1600")}
     assert got["a"].width == 20 and len(got["a"].visual_features) == 64 and "no image" in got["b"].error
 
 
