@@ -131,6 +131,11 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": f"{_NEWEST} SELECT collection_id, photo_id FROM placed WHERE position <= 5",
         "p2_top": f"{_NEWEST} SELECT collection_id, photo_id, score, position FROM placed WHERE position <= 5",
         "p4_found": f"{_HASHES} SELECT photo_id_a, photo_id_b FROM pairs",
+        "p4_groups": _HASHES.replace("WITH h", "WITH RECURSIVE h") + """, classes AS (SELECT p, d, min(id) AS rep FROM v GROUP BY p, d),
+near AS (SELECT a.rep AS a, b.rep AS b FROM classes a JOIN classes b ON a.rep <> b.rep AND bit_count(xor(a.p, b.p)) <= 7 AND bit_count(xor(a.d, b.d)) <= 12),
+reach AS (SELECT rep, rep AS other FROM classes UNION SELECT r.rep, n.b FROM reach r JOIN near n ON n.a = r.other),
+groups AS (SELECT rep, min(other) AS group_id FROM reach GROUP BY rep)
+SELECT v.id AS photo_id, c.rep AS class_id, (SELECT count(*) FROM near WHERE near.a = c.rep) AS links, group_id FROM v JOIN classes c USING (p, d) JOIN groups g ON g.rep = c.rep""",
         "p5_found": """WITH RECURSIVE known AS (SELECT 'photo' AS kind, id FROM photos UNION ALL SELECT 'face', id FROM faces),
 pairs AS (SELECT kind, left_id AS a, right_id AS b FROM match_pairs m WHERE left_id <> right_id AND EXISTS (SELECT 1 FROM known k WHERE k.kind = m.kind AND k.id = m.left_id)
   AND EXISTS (SELECT 1 FROM known k WHERE k.kind = m.kind AND k.id = m.right_id)),
