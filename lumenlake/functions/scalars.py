@@ -10,6 +10,19 @@ from lumenlake.functions.geo import _c
 EN_DASH = "–"
 
 
+_EPOCH = "1970-01-01 00:00:00"
+
+
+def wall_micros(at: Column | str) -> Column:
+    """Microseconds of a local wall-clock time since 1970 on the same clock, whatever the session's zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit(_EPOCH).cast("timestamp_ntz"), _c(at).cast("timestamp_ntz"))
+
+
+def wall_time(micros: Column | str) -> Column:
+    """The inverse of ``wall_micros``."""
+    return F.timestamp_add("MICROSECOND", _c(micros), F.lit(_EPOCH).cast("timestamp_ntz"))
+
+
 def effective_quality(quality: str = "quality_score", rating: str = "manual_rating") -> Column:
     """Stored quality (0.35 if null or NaN), mixed 70:30 with a rating that is neither null nor 0, within [0, 1]."""
     q, r = F.coalesce(F.nanvl(F.col(quality), F.lit(None).cast("double")), F.lit(0.35)), F.col(rating)
@@ -126,7 +139,7 @@ def capture_time(exif: list[Column], file_name: Column | str, mtime: Column | st
     stem = F.regexp_replace(_c(file_name), r"(?<=.)\.[^.]*$", "")
     part = lambda k: F.regexp_extract(stem, _NAMED_TIME, k).try_cast("int")
     named = F.try_make_timestamp_ntz(part(1), part(2), part(3), part(4), part(5), part(6).cast("decimal(8,6)"))
-    file = F.timestamp_micros((_c(mtime) * 1_000_000).cast("long")).cast("timestamp_ntz")
+    file = wall_time((_c(mtime) * 1_000_000).cast("long"))
     from_exif = F.coalesce(*read) if read else F.lit(None).cast("timestamp_ntz")
     at = F.coalesce(from_exif, named, file)
     source = F.when(from_exif.isNotNull(), "exif").when(named.isNotNull(), "filename").when(file.isNotNull(), "mtime")

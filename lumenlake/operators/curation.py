@@ -35,7 +35,7 @@ def eligible(photos: DataFrame) -> DataFrame:
     return photos.filter("active and analysis_status = 'done' and id is not null").select(
         "id", "relative_path", "file_hash", "perceptual_hash", "capture_at", "capture_source", "width", "height", F.coalesce("face_count", F.lit(0)).alias("face_count"),
         number("latitude"), number("longitude"), number("sharpness_score"), number("exposure_score"), number("color_score"),
-        S.place_label("place_city", country).alias("place"), S.effective_quality().alias("quality"), F.unix_micros(F.col("capture_at").cast("timestamp")).alias("t_us"),
+        S.place_label("place_city", country).alias("place"), S.effective_quality().alias("quality"), S.wall_micros("capture_at").alias("t_us"),
     )
 
 

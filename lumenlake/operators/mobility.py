@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.functions.geo import haversine_m
+from lumenlake.functions.scalars import wall_micros, wall_time
 from lumenlake.operators.ordering import PID, ordered_scan, range_sorted
 from lumenlake.shared import materialize
 
@@ -276,7 +277,7 @@ def valid_pings(photos: DataFrame) -> DataFrame:
         F.col("device_id").isNotNull() & F.col("capture_at").isNotNull() & F.col("id").isNotNull()
         & F.col("capture_source").isin("exif", "filename") & within("latitude", 90.0) & within("longitude", 180.0)
     )
-    t = F.unix_micros(F.col("capture_at").cast("timestamp_ntz").cast("timestamp")).alias("t_us")
+    t = wall_micros("capture_at").alias("t_us")
     first = F.min(F.struct(F.col("id").cast("long").alias("id"), "latitude", "longitude")).alias("p")
     return rows.groupBy(F.col("device_id").cast("long").alias("device_id"), t).agg(first).select("device_id", "t_us", "p.latitude", "p.longitude", "p.id")
 
@@ -310,7 +311,7 @@ def stops_and_trips(
         .mapInArrow(_detect(radius_m, patience_s * _MICROS, least_s * _MICROS, least_pings), _STOPS)
     )
     stops = materialize(found, "stops")
-    back = lambda c: F.timestamp_micros(F.col(c)).cast("timestamp_ntz")
+    back = wall_time
     # A device has at most two stops an hour, so a window by device stays small.
     order = Window.partitionBy("device_id", "voyage").orderBy("start_us")
     following = {c: F.lead(c).over(order).alias(f"next_{c}") for c in ("first_photo_id", "start_us", "latitude", "longitude", "path_at_start")}
