@@ -178,7 +178,8 @@ def _search(ids: np.ndarray, codes: np.ndarray, scale: np.ndarray, own: np.ndarr
     rows = max(1, min(len(query), 8_000_000 // len(base)))
     for at in range(0, len(query), rows):
         q = query[at : at + rows]
-        sim = (codes[q].astype(np.float32) @ b) * scale[q][:, None] * sb[None, :]
+        # exact integers times a product that is the same both ways, so a pair has one value wherever it meets
+        sim = (codes[q].astype(np.float32) @ b) * (scale[q][:, None] * sb[None, :])
         hits = sim >= least
         back_from = ~own[q]
         if len(base) > 4 * (k + 1) and np.count_nonzero(hits) > 0.05 * sim.size:
@@ -290,9 +291,9 @@ def nearest(
 
     met = placed.groupBy("bucket", "part").applyInArrow(search, "id long, others array<long>, sims array<float>")
     # per query at most 8k candidates a bucket it came to
-    pooled = met.groupBy("id").agg(F.flatten(F.collect_list(F.arrays_zip("others", "sims"))).alias("all"))
-    ranked = F.array_sort(F.array_distinct(F.transform("all", lambda e: F.struct((-e["sims"]).alias("far"), e["others"].alias("other")))))
-    first = pooled.select("id", F.slice(ranked, 1, keep).alias("best"))
+    pooled = met.repartition("id").select("id", F.explode(F.arrays_zip("others", "sims")).alias("e"))
+    once = pooled.groupBy("id", F.col("e.others").alias("other")).agg(F.min(-F.col("e.sims")).alias("far"))
+    first = once.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("far", "other"))), 1, keep).alias("best"))
     edge = F.coalesce(F.try_element_at("best", F.lit(k))["far"], F.lit(float("inf"))) + 2 * _CODE_ERROR
     directed = first.select("id", edge.alias("edge"), F.explode("best").alias("b")).filter(F.col("b.far") <= F.col("edge")).select("id", F.col("b.other").alias("other"))
     pairs = directed.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.max(F.col("id") < F.col("other")).alias("from_a"), F.max(F.col("id") > F.col("other")).alias("from_b"))
