@@ -7,8 +7,9 @@ query looks into its own bucket and into perturbed ones, in the order in which t
 are expected to hold near vectors: those across the nearest cell borders first.
 
 Within a bucket similarities are taken on 8-bit codes (exact integer products of one
-task's arrays); the best few candidates of each query over all tables and probes are then
-ranked again by the exact similarity of the full vectors.
+task's arrays). Where the error of the codes leaves a query too many candidates, the whole
+bucket is searched again on the full vectors. The candidates of each query over all tables
+and probes are then ranked again by the exact similarity of the full vectors.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ from lumenlake.shared import materialize
 #: Error of a similarity on 8-bit codes, some five standard deviations.
 _CODE_ERROR = 0.006
 
+#: More than the rounding of a similarity of full vectors.
+_ROUNDING = 1e-12
+
 
 def collision(distance: float, width: float) -> float:
     """Probability that two points at a distance share a cell of one Gaussian projection."""
@@ -138,11 +142,11 @@ def _codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.rint(unit / scale[:, None]).astype(np.int8), scale.astype(np.float32)
 
 
-def _best(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int, keep: int) -> np.ndarray:
+def _best(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int) -> np.ndarray:
     """Indices of each owner's candidates for the ``k`` most similar others, each other once.
 
-    Those that the error of the codes can't bar from the first ``k`` stay, in order of
-    similarity and then of the smaller identifier, and no more than ``keep``.
+    All that the error of the codes can't bar from the first ``k`` stay, in order of
+    similarity and then of the smaller identifier.
     """
     order = np.lexsort((other, -sim, owner))
     o, x = owner[order], other[order]
@@ -155,21 +159,20 @@ def _best(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int, keep: i
     start = np.maximum.accumulate(np.where(np.r_[True, o[1:] != o[:-1]], at, 0))
     kth = np.minimum(start + k - 1, len(o) - 1)
     edge = np.where(o[kth] == o, sim[order[kth]], -np.inf) - 2 * _CODE_ERROR
-    return order[(at - start < keep) & (sim[order] >= edge)]
-
-
-def _search(ids: np.ndarray, codes: np.ndarray, scale: np.ndarray, own: np.ndarray, asks: np.ndarray, wants: np.ndarray, least: float, k: int, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates ``(query, other, similarity)`` of one bucket: ``asks`` says who queries here, ``wants`` who does at all."""
-    base = np.flatnonzero(own)
-    if len(base) > 4096:
-        # Of equal codes only the smallest identifiers can be among the best: a query needs one more than it keeps.
-        view = np.ascontiguousarray(codes[base]).view(np.dtype((np.void, codes.shape[1]))).ravel()
-        _, group = np.unique(view, return_inverse=True)
-        order = np.lexsort((ids[base], group))
-        g = group[order]
-        place = np.arange(len(g)) - np.maximum.accumulate(np.where(np.r_[True, g[1:] != g[:-1]], np.arange(len(g)), 0))
-        base = np.sort(base[order[place <= keep]])
-    query = np.flatnonzero(asks)
+    return order[sim[order] >= edge]
+
+
+def _crowded(owner: np.ndarray, keep: int) -> bool:
+    """Whether anyone of the sorted ``owner`` has more than ``keep`` rows."""
+    return bool(len(owner) > keep and (owner[keep:] == owner[:-keep]).any())
+
+
+def _search(ids: np.ndarray, codes: np.ndarray, scale: np.ndarray, own: np.ndarray, asks: np.ndarray, wants: np.ndarray, least: float, k: int, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Candidates ``(query, other, similarity)`` of one bucket: ``asks`` says who queries here, ``wants`` who does at all.
+
+    None if the codes leave a query more than ``keep`` candidates.
+    """
+    base, query = np.flatnonzero(own), np.flatnonzero(asks)
     if not len(base) or not len(query):
         return (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
     b, sb = codes[base].astype(np.float32).T.copy(), scale[base]
@@ -186,6 +189,8 @@ def _search(ids: np.ndarray, codes: np.ndarray, scale: np.ndarray, own: np.ndarr
             # Crowded: only what can be among the best of its row, or for probes of its column, is looked at.
             edge = np.partition(sim, -(k + 1), axis=1)[:, -(k + 1)] - 2 * _CODE_ERROR  # the query itself may be among them
             near = sim >= np.maximum(edge, least)[:, None]
+            if (np.count_nonzero(near, axis=1) > keep + 1).any():
+                return None
             if back_from.sum() > k:
                 column = np.partition(sim[back_from], -k, axis=0)[-k] - 2 * _CODE_ERROR
                 near[back_from] |= sim[back_from] >= np.maximum(column, least)[None, :]
@@ -196,17 +201,62 @@ def _search(ids: np.ndarray, codes: np.ndarray, scale: np.ndarray, own: np.ndarr
         other = ids[q[i]] != ids[base[j]]
         i, j = i[other], j[other]
         s, qi, bj = sim[i, j], q[i], base[j]
-        best = _best(ids[qi], ids[bj], s, k, keep)
+        best = _best(ids[qi], ids[bj], s, k)
+        if _crowded(ids[qi[best]], keep):
+            return None
         found.append((ids[qi[best]], ids[bj[best]], s[best]))
         turned = wants[bj] & ~own[qi]  # what a probe meets may have missed the probe's owner
         back.append((ids[bj[turned]], ids[qi[turned]], s[turned]))
         if sum(len(x[0]) for x in back) > 2_000_000:
             o, x, v = (np.concatenate(c) for c in zip(*back, strict=True))
-            best = _best(o, x, v, k, keep)
+            best = _best(o, x, v, k)
             back = [(o[best], x[best], v[best])]
+            if len(best) > 1_000_000:
+                return None
     o, x, v = (np.concatenate(c) for c in zip(*found, *back, strict=True))
-    best = _best(o, x, v, k, keep)
-    return o[best], x[best], v[best]
+    best = _best(o, x, v, k)
+    return None if _crowded(o[best], keep) else (o[best], x[best], v[best])
+
+
+def _top(ids: np.ndarray, unit: np.ndarray, query: np.ndarray, base: np.ndarray, least: float, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(query, other, similarity)`` of the ``k`` most similar others in ``base`` of each ``query``, on full vectors."""
+    base = base[np.unique(ids[base], return_index=True)[1]]
+    if not len(base) or not len(query):
+        return []
+    # Of equal vectors only the smallest identifiers can be among the first: one more than k, as the query may be one of them.
+    view = np.ascontiguousarray(unit[base]).view(np.dtype((np.void, unit.shape[1] * unit.itemsize))).ravel()
+    group = np.unique(view, return_inverse=True)[1]
+    order = np.argsort(group, kind="stable")
+    g = group[order]
+    place = np.arange(len(g)) - np.maximum.accumulate(np.where(np.r_[True, g[1:] != g[:-1]], np.arange(len(g)), 0))
+    base = base[np.sort(order[place <= k])]
+    named, b = ids[base], unit[base].T.copy()
+    found = []
+    rows = max(1, 4_000_000 // len(base))
+    for at in range(0, len(query), rows):
+        q = query[at : at + rows]
+        sim = unit[q] @ b
+        spot = np.minimum(np.searchsorted(named, ids[q]), len(named) - 1)
+        itself = np.flatnonzero(named[spot] == ids[q])
+        sim[itself, spot[itself]] = -np.inf
+        edge = np.partition(sim, -k, axis=1)[:, -k] - _ROUNDING if len(base) > k else np.full(len(q), -np.inf)
+        i, j = np.nonzero(sim >= np.maximum(edge, least - _ROUNDING)[:, None])
+        # a product of matrices rounds equal vectors differently by their place
+        s = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", unit[q[i[c : c + 50_000]]], unit[base[j[c : c + 50_000]]]) for c in range(0, len(i), 50_000))])
+        order = np.lexsort((named[j], -s, i))
+        o = i[order]
+        first = order[np.arange(len(o)) - np.searchsorted(o, o) < k]
+        found.append((ids[q[i[first]]], named[j[first]], s[first]))
+    return found
+
+
+def _exact(ids: np.ndarray, unit: np.ndarray, own: np.ndarray, asks: np.ndarray, wants: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_search`` on full vectors: no one has more than ``k`` rows for what it met at home, and ``k`` for who came to it."""
+    found = _top(ids, unit, np.flatnonzero(asks), np.flatnonzero(own), least, k)
+    found += _top(ids, unit, np.flatnonzero(own & wants), np.flatnonzero(asks & ~own), least, k)
+    o, x, v = (np.concatenate(c) for c in zip((np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)), *found, strict=True))
+    order = np.argsort(o, kind="stable")
+    return o[order], x[order], v[order]
 
 
 def valid_vector(column: str, dim: int) -> Column:
@@ -265,35 +315,59 @@ def nearest(
         depth = min(plan.deeper, max(1, round(math.log(r.n / bucket) / 0.72))) if deep else 0
         hot[r.bucket] = (1 if deep else math.ceil(r.n / (4 * bucket)), depth, 2 * r.spread)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, unit, probing = unit_rows(batch)
-            codes, scale = _codes(unit)
-            for key, part, at, own, asks in plan.buckets(ids, unit, probing, hot):
-                if len(at):
-                    code = pa.Array.from_buffers(pa.binary(dim), len(at), [None, pa.py_buffer(np.ascontiguousarray(codes[at]))]).cast(pa.binary())
-                    columns = [pa.array(key), pa.array(part), pa.array(ids[at]), code, pa.array(scale[at]), pa.array(own), pa.array(asks), pa.array(probing[at])]
-                    yield pa.RecordBatch.from_arrays(columns, names=["bucket", "part", "id", "code", "scale", "own", "asks", "wants"])
-
-    placed = rows.mapInArrow(spread, "bucket long, part int, id long, code binary, scale float, own boolean, asks boolean, wants boolean")
-    keep = 8 * k
-
-    def search(table: pa.Table) -> pa.Table:
-        ids, scale, *flags = (table.column(c).to_numpy() for c in ("id", "scale", "own", "asks", "wants"))
-        code = table.column("code").combine_chunks()
-        flat = np.frombuffer(b"".join(code.to_pylist()), dtype=np.int8).reshape(-1, dim)
-        q, x, s = _search(ids, flat, scale, *(f.astype(bool) for f in flags), least - _CODE_ERROR, k, keep)
-        start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, np.int64)
-        ends = pa.array(np.r_[start, len(q)].astype(np.int32))
-        return pa.table({"id": pa.array(q[start]), "others": pa.ListArray.from_arrays(ends, pa.array(x)), "sims": pa.ListArray.from_arrays(ends, pa.array(s))})
+    def place(only: np.ndarray | None) -> DataFrame:
+        """What each bucket gets: codes, or full vectors for the buckets in ``only``."""
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids, unit, probing = unit_rows(batch)
+                codes, scale = _codes(unit)
+                sent = codes if only is None else _matrix(batch.column("v"), dim).astype(np.float32)
+                for key, part, at, own, asks in plan.buckets(ids, unit, probing, hot):
+                    if only is not None:
+                        here = np.isin(key, only)
+                        key, part, at, own, asks = key[here], part[here], at[here], own[here], asks[here]
+                    if len(at):
+                        data = pa.Array.from_buffers(pa.binary(sent.itemsize * dim), len(at), [None, pa.py_buffer(np.ascontiguousarray(sent[at]))]).cast(pa.binary())
+                        columns = [pa.array(key), pa.array(part), pa.array(ids[at]), data, pa.array(scale[at]), pa.array(own), pa.array(asks), pa.array(probing[at])]
+                        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "part", "id", "data", "scale", "own", "asks", "wants"])
+
+        return rows.mapInArrow(spread, "bucket long, part int, id long, data binary, scale float, own boolean, asks boolean, wants boolean").groupBy("bucket", "part")
 
-    met = placed.groupBy("bucket", "part").applyInArrow(search, "id long, others array<long>, sims array<float>")
+    keep = 8 * k
+    lists = "bucket long, id long, others array<long>, sims array<float>"
+
+    def search(full: bool):
+        def of_bucket(table: pa.Table) -> pa.Table:
+            ids, scale, *flags = (table.column(c).to_numpy() for c in ("id", "scale", "own", "asks", "wants"))
+            own, asks, wants = (f.astype(bool) for f in flags)
+            flat = np.frombuffer(b"".join(table.column("data").combine_chunks().to_pylist()), dtype=np.float32 if full else np.int8).reshape(-1, dim)
+            if full:
+                unit = flat.astype(np.float64)
+                unit /= np.linalg.norm(unit, axis=1)[:, None]
+                met = _exact(ids, unit, own, asks, wants, least, k)
+            else:
+                met = _search(ids, flat, scale, own, asks, wants, least - _CODE_ERROR, k, keep)
+            bucket = table.column("bucket")[0].as_py()
+            if met is None:  # a row without a query asks for the full vectors
+                return pa.table({"bucket": pa.array([bucket], pa.int64()), "id": pa.array([None], pa.int64()), "others": pa.array([None], pa.list_(pa.int64())), "sims": pa.array([None], pa.list_(pa.float32()))})
+            q, x, s = met
+            start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, np.int64)
+            ends = pa.array(np.r_[start, len(q)].astype(np.int32))
+            return pa.table({"bucket": pa.array(np.full(len(start), bucket, dtype=np.int64)), "id": pa.array(q[start]), "others": pa.ListArray.from_arrays(ends, pa.array(x)), "sims": pa.ListArray.from_arrays(ends, pa.array(s.astype(np.float32)))})
+
+        return of_bucket
+
+    met = materialize(place(None).applyInArrow(search(False), lists), "met")
+    again = np.array([r.bucket for r in met.filter("id is null").select("bucket").distinct().collect()], dtype=np.int64)  # each with more than 8k rows
+    if len(again):
+        met = met.join(F.broadcast(met.filter("id is null").select("bucket").distinct()), "bucket", "left_anti").unionByName(place(again).applyInArrow(search(True), lists))
     # per query at most 8k candidates a bucket it came to
-    pooled = met.repartition("id").select("id", F.explode(F.arrays_zip("others", "sims")).alias("e"))
+    pooled = met.select("id", "others", "sims").repartition("id").select("id", F.explode(F.arrays_zip("others", "sims")).alias("e"))
     once = pooled.groupBy("id", F.col("e.others").alias("other")).agg(F.min(-F.col("e.sims")).alias("far"))
-    first = once.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("far", "other"))), 1, keep).alias("best"))
+    first = once.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("far", "other"))).alias("best"))
     edge = F.coalesce(F.try_element_at("best", F.lit(k))["far"], F.lit(float("inf"))) + 2 * _CODE_ERROR
     directed = first.select("id", edge.alias("edge"), F.explode("best").alias("b")).filter(F.col("b.far") <= F.col("edge")).select("id", F.col("b.other").alias("other"))
     pairs = directed.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.max(F.col("id") < F.col("other")).alias("from_a"), F.max(F.col("id") > F.col("other")).alias("from_b"))
@@ -309,9 +383,9 @@ def nearest(
 
     known = both.select("a", "b", "from_a", "from_b", "va", "vb").mapInArrow(exact, "a long, b long, from_a boolean, from_b boolean, similarity double").filter(F.col("similarity") >= least)
     ways = F.filter(F.array(F.struct(F.col("from_a").alias("ok"), F.col("a").alias("id"), F.col("b").alias("neighbour")), F.struct(F.col("from_b").alias("ok"), F.col("b").alias("id"), F.col("a").alias("neighbour"))), lambda e: e["ok"])
-    lists = known.select(F.explode(ways).alias("w"), "similarity").select("w.id", "w.neighbour", "similarity")
-    order = Window.partitionBy("id").orderBy(F.col("similarity").desc(), "neighbour")  # at most 8k rows a query
-    return lists.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select(F.col("id").alias(identifier), "neighbour", "similarity", "place")
+    directions = known.select(F.explode(ways).alias("w"), "similarity").select("w.id", "w.neighbour", "similarity")
+    order = Window.partitionBy("id").orderBy(F.col("similarity").desc(), "neighbour")  # at most 8k rows a query and bucket
+    return directions.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select(F.col("id").alias(identifier), "neighbour", "similarity", "place")
 
 
 def similar_pairs(neighbours: DataFrame, identifier: str) -> DataFrame:

@@ -47,6 +47,17 @@ def test_hot_person_is_split(spark):
         assert recall >= (0.9 if bucket == 60 else 0.5)
 
 
+def test_dense_group_is_ranked_by_full_vectors(spark):
+    for dim, noise in ((64, 0.009), (64, 0.0031), (128, 0.00001)):  # all but the first far within the error of the codes
+        x = np.concatenate([_people(600, 12, dim, seed=5), _people(3000, 3000, dim, noise, seed=6)])
+        ids = np.random.default_rng(2).permutation(len(x)).astype(np.int64)
+        asked = list(range(600, 3600, 60))
+        df = _frame(spark, ids, x)
+        got = {(r.id, r.neighbour) for r in nearest(df, "id", "embedding", dim, 5, 0.99, width=4.0, queries=df.id.isin([int(ids[i]) for i in asked])).collect()}
+        want = _true(ids, x, 5, 0.99, asked)
+        assert len(got & want) / len(want) >= 0.9 and len(got) == len(want)
+
+
 def test_copies_ties_and_bad_vectors(spark):
     v = [float(k % 7 - 3) for k in range(128)]
     bad = [None, [], v[:127], [0.0] * 128, [float("nan"), *v[1:]], [float("inf"), *v[1:]], [None, *v[1:]]]
