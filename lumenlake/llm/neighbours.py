@@ -83,49 +83,43 @@ class Plan:
         share = -math.log(collision(far, width))
         self.k = max(1, round(math.log(max(1.0, size / bucket)) / share))
         self.probes = max(5, 2 * (self.k - 3)) if tables > 1 else max(2, 2 * self.k - 4)
-        self.width, self.tables, self.deeper = width, tables, 12
-        self.a = rng.standard_normal((tables, dim, self.k + self.deeper))
-        self.b = rng.random((tables, self.k + self.deeper))
-        self.salt = rng.integers(1, 2**61, (tables, self.k + self.deeper)) | 1
-
-    def own(self, unit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Each table's own buckets, and one further projection that tells how far their vectors spread."""
+        self.width, self.tables = width, tables
+        spare = 12  # drawn and not used: the functions stay those for which recall was measured
+        self.a = rng.standard_normal((tables, dim, self.k + spare))[:, :, : self.k]
+        self.b = rng.random((tables, self.k + spare))[:, : self.k]
+        self.salt = (rng.integers(1, 2**61, (tables, self.k + spare)) | 1)[:, : self.k]
+
+    def own(self, unit: np.ndarray) -> Iterator[np.ndarray]:
+        """Each table's own buckets."""
         for t in range(self.tables):
-            projected = unit @ self.a[t][:, : self.k + 1] + self.b[t][: self.k + 1] * self.width
-            cells = np.floor(projected[:, : self.k] / self.width).astype(np.int64)
-            yield _mix(cells, self.salt[t, : self.k]) ^ np.int64(t), projected[:, self.k]
+            cells = np.floor((unit @ self.a[t] + self.b[t] * self.width) / self.width).astype(np.int64)
+            yield _mix(cells, self.salt[t]) ^ np.int64(t)
 
-    def buckets(self, ids: np.ndarray, unit: np.ndarray, probing: np.ndarray, hot: dict[int, tuple[int, int, float]]) -> Iterator[tuple[np.ndarray, ...]]:
-        """``(bucket, part, row, own, asks)`` for all vectors' own buckets and the probes of those in ``probing``.
+    def buckets(self, ids: np.ndarray, unit: np.ndarray, probing: np.ndarray, hot: dict[int, tuple[int, int]]) -> Iterator[tuple[np.ndarray, ...]]:
+        """``(bucket, part, row, own, asks, wants)`` for all vectors' own buckets and the probes of those in ``probing``.
 
-        ``hot`` has for crowded buckets the parts, further projections and their width. The
-        queries of a crowded bucket are shared out to its parts and its vectors are in all of
-        them. With further projections its vectors are told apart and queries probe again.
+        ``hot`` has for crowded buckets the number of shares and of blocks. The queries of a crowded
+        bucket are shared out, its vectors are cut into blocks, and each share meets each block in
+        a part of its own. A query of the bucket that is a guest in another block there doesn't want.
         """
         for t in range(self.tables):
             projected = unit @ self.a[t] + self.b[t] * self.width
-            keys = _mix(_cells(projected[:, : self.k] / self.width, self.probes), self.salt[t, : self.k]) ^ np.int64(t)
+            keys = _mix(_cells(projected / self.width, self.probes), self.salt[t]) ^ np.int64(t)
             for p in range(keys.shape[1]):
                 rows = np.arange(len(unit)) if p == 0 else np.flatnonzero(probing)
                 key, mine = keys[rows, p], np.full(len(rows), p == 0)
                 crowded = np.isin(key, self._hot(hot)) if hot else np.zeros(len(rows), dtype=bool)
                 calm = ~crowded
-                yield key[calm], np.zeros(int(calm.sum()), dtype=np.int32), rows[calm], mine[calm], probing[rows[calm]]
+                yield key[calm], np.zeros(int(calm.sum()), dtype=np.int32), rows[calm], mine[calm], probing[rows[calm]], probing[rows[calm]]
                 for h in np.unique(key[crowded]):
                     at = rows[key == h]
-                    parts, depth, width = hot[int(h)]
-                    if depth:
-                        cells = _cells(projected[at, self.k : self.k + depth] / width, 2 * depth)
-                        sub = _mix(cells, self.salt[t, self.k : self.k + depth]) ^ h
-                        for q in range(sub.shape[1]):
-                            base = p == 0 and q == 0
-                            here = np.ones(len(at), dtype=bool) if base else probing[at]
-                            yield sub[here, q], np.zeros(int(here.sum()), dtype=np.int32), at[here], np.full(int(here.sum()), base), probing[at[here]]
-                        continue
-                    turn = ids[at] % parts
-                    for part in range(parts):
-                        here = np.ones(len(at), dtype=bool) if p == 0 else turn == part
-                        yield np.full(int(here.sum()), h), np.full(int(here.sum()), part, dtype=np.int32), at[here], np.full(int(here.sum()), p == 0), probing[at[here]] & (turn[here] == part)
+                    shares, blocks = hot[int(h)]
+                    turn, block = ids[at] % shares, ids[at] // shares % blocks
+                    for share, part in itertools.product(range(shares), range(blocks)):
+                        asking, home = probing[at] & (turn == share), (block == part) & (p == 0)
+                        here = asking | home
+                        n = int(here.sum())
+                        yield np.full(n, h), np.full(n, share * blocks + part, dtype=np.int32), at[here], home[here], asking[here], probing[at[here]] & (home[here] | (p > 0))
 
     @staticmethod
     def _hot(hot: dict) -> np.ndarray:
@@ -137,6 +131,11 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def _codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     scale = np.abs(unit).max(axis=1) / 127
     return np.rint(unit / scale[:, None]).astype(np.int8), scale.astype(np.float32)
@@ -218,31 +217,32 @@ def _search(ids: np.ndarray, codes: np.ndarray, scale: np.ndarray, own: np.ndarr
     return None if _crowded(o[best], keep) else (o[best], x[best], v[best])
 
 
-def _top(ids: np.ndarray, unit: np.ndarray, query: np.ndarray, base: np.ndarray, least: float, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _top(ids: np.ndarray, x: np.ndarray, query: np.ndarray, base: np.ndarray, least: float, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """``(query, other, similarity)`` of the ``k`` most similar others in ``base`` of each ``query``, on full vectors."""
     base = base[np.unique(ids[base], return_index=True)[1]]
     if not len(base) or not len(query):
         return []
     # Of equal vectors only the smallest identifiers can be among the first: one more than k, as the query may be one of them.
-    view = np.ascontiguousarray(unit[base]).view(np.dtype((np.void, unit.shape[1] * unit.itemsize))).ravel()
+    view = np.ascontiguousarray(x[base]).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel()
     group = np.unique(view, return_inverse=True)[1]
     order = np.argsort(group, kind="stable")
     g = group[order]
     place = np.arange(len(g)) - np.maximum.accumulate(np.where(np.r_[True, g[1:] != g[:-1]], np.arange(len(g)), 0))
     base = base[np.sort(order[place <= k])]
-    named, b = ids[base], unit[base].T.copy()
+    named, b = ids[base], _unit(x[base])
     found = []
     rows = max(1, 4_000_000 // len(base))
     for at in range(0, len(query), rows):
         q = query[at : at + rows]
-        sim = unit[q] @ b
+        a = _unit(x[q])
+        sim = a @ b.T
         spot = np.minimum(np.searchsorted(named, ids[q]), len(named) - 1)
         itself = np.flatnonzero(named[spot] == ids[q])
         sim[itself, spot[itself]] = -np.inf
         edge = np.partition(sim, -k, axis=1)[:, -k] - _ROUNDING if len(base) > k else np.full(len(q), -np.inf)
         i, j = np.nonzero(sim >= np.maximum(edge, least - _ROUNDING)[:, None])
         # a product of matrices rounds equal vectors differently by their place
-        s = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", unit[q[i[c : c + 50_000]]], unit[base[j[c : c + 50_000]]]) for c in range(0, len(i), 50_000))])
+        s = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", a[i[c : c + 50_000]], b[j[c : c + 50_000]]) for c in range(0, len(i), 50_000))])
         order = np.lexsort((named[j], -s, i))
         o = i[order]
         first = order[np.arange(len(o)) - np.searchsorted(o, o) < k]
@@ -250,13 +250,13 @@ def _top(ids: np.ndarray, unit: np.ndarray, query: np.ndarray, base: np.ndarray,
     return found
 
 
-def _exact(ids: np.ndarray, unit: np.ndarray, own: np.ndarray, asks: np.ndarray, wants: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _exact(ids: np.ndarray, x: np.ndarray, own: np.ndarray, asks: np.ndarray, wants: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """As ``_search`` on full vectors: no one has more than ``k`` rows for what it met at home, and ``k`` for who came to it."""
-    found = _top(ids, unit, np.flatnonzero(asks), np.flatnonzero(own), least, k)
-    found += _top(ids, unit, np.flatnonzero(own & wants), np.flatnonzero(asks & ~own), least, k)
-    o, x, v = (np.concatenate(c) for c in zip((np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)), *found, strict=True))
+    found = _top(ids, x, np.flatnonzero(asks), np.flatnonzero(own), least, k)
+    found += _top(ids, x, np.flatnonzero(own & wants), np.flatnonzero(asks & ~own & wants), least, k)
+    o, n, v = (np.concatenate(c) for c in zip((np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)), *found, strict=True))
     order = np.argsort(o, kind="stable")
-    return o[order], x[order], v[order]
+    return o[order], n[order], v[order]
 
 
 def valid_vector(column: str, dim: int) -> Column:
@@ -288,7 +288,7 @@ def nearest(
     longs, and of repeated ones one stands for all. ``width`` is the cell width, ``far`` the distance of
     unrelated unit vectors and ``bucket`` the bucket size from which the number of projections
     follows. The queries of buckets four times as full are shared
-    out to several tasks, and buckets 64 times as full are told apart by further projections. The result is
+    out to several tasks, those of buckets 64 times as full meet its vectors in blocks. The result is
     approximate: what never shares a bucket isn't found (see the README for measured recall).
     Result: ``identifier, neighbour, similarity, place``.
     """
@@ -300,23 +300,25 @@ def nearest(
 
     def unit_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x = _matrix(batch.column("v"), dim)
-        return batch.column("id").to_numpy(), x / np.linalg.norm(x, axis=1)[:, None], batch.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        return batch.column("id").to_numpy(), _unit(x), batch.column("asks").to_numpy(zero_copy_only=False).astype(bool)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                for key, spot in plan.own(unit_rows(batch)[1]):
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(spot)], names=["bucket", "spot"])
+                for key in plan.own(unit_rows(batch)[1]):
+                    yield pa.RecordBatch.from_arrays([pa.array(key)], names=["bucket"])
 
-    sizes = rows.mapInArrow(measure, "bucket long, spot double").groupBy("bucket").agg(F.count("*").alias("n"), F.stddev_pop("spot").alias("spread"))
-    hot = {}
+    sizes = rows.mapInArrow(measure, "bucket long").groupBy("bucket").agg(F.count("*").alias("n"))
+    hot, vast = {}, []
     for r in sizes.filter(F.col("n") > 4 * bucket).collect():  # at most size x tables / (4 x bucket) rows
-        deep = r.n > 64 * bucket and r.spread > 1e-6
-        depth = min(plan.deeper, max(1, round(math.log(r.n / bucket) / 0.72))) if deep else 0
-        hot[r.bucket] = (1 if deep else math.ceil(r.n / (4 * bucket)), depth, 2 * r.spread)
+        if r.n > 64 * bucket:
+            hot[r.bucket] = (math.ceil(r.n / (32 * bucket)),) * 2
+            vast.append(r.bucket)
+        else:
+            hot[r.bucket] = (math.ceil(r.n / (4 * bucket)), 1)
 
     def place(only: np.ndarray | None) -> DataFrame:
-        """What each bucket gets: codes, or full vectors for the buckets in ``only``."""
+        """What each bucket gets: codes, or full vectors for the buckets in ``only``; vast buckets get only these."""
 
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -325,13 +327,13 @@ def nearest(
                 ids, unit, probing = unit_rows(batch)
                 codes, scale = _codes(unit)
                 sent = codes if only is None else _matrix(batch.column("v"), dim).astype(np.float32)
-                for key, part, at, own, asks in plan.buckets(ids, unit, probing, hot):
-                    if only is not None:
-                        here = np.isin(key, only)
-                        key, part, at, own, asks = key[here], part[here], at[here], own[here], asks[here]
+                for key, part, at, own, asks, wants in plan.buckets(ids, unit, probing, hot):
+                    if only is not None or vast:
+                        here = np.isin(key, vast, invert=True) if only is None else np.isin(key, only)
+                        key, part, at, own, asks, wants = key[here], part[here], at[here], own[here], asks[here], wants[here]
                     if len(at):
                         data = pa.Array.from_buffers(pa.binary(sent.itemsize * dim), len(at), [None, pa.py_buffer(np.ascontiguousarray(sent[at]))]).cast(pa.binary())
-                        columns = [pa.array(key), pa.array(part), pa.array(ids[at]), data, pa.array(scale[at]), pa.array(own), pa.array(asks), pa.array(probing[at])]
+                        columns = [pa.array(key), pa.array(part), pa.array(ids[at]), data, pa.array(scale[at]), pa.array(own), pa.array(asks), pa.array(wants)]
                         yield pa.RecordBatch.from_arrays(columns, names=["bucket", "part", "id", "data", "scale", "own", "asks", "wants"])
 
         return rows.mapInArrow(spread, "bucket long, part int, id long, data binary, scale float, own boolean, asks boolean, wants boolean").groupBy("bucket", "part")
@@ -343,11 +345,10 @@ def nearest(
         def of_bucket(table: pa.Table) -> pa.Table:
             ids, scale, *flags = (table.column(c).to_numpy() for c in ("id", "scale", "own", "asks", "wants"))
             own, asks, wants = (f.astype(bool) for f in flags)
-            flat = np.frombuffer(b"".join(table.column("data").combine_chunks().to_pylist()), dtype=np.float32 if full else np.int8).reshape(-1, dim)
+            kind = np.dtype(np.float32 if full else np.int8)
+            flat = np.concatenate([np.frombuffer(c.buffers()[2], dtype=kind, count=len(c) * dim, offset=np.frombuffer(c.buffers()[1], dtype=np.int32)[c.offset]) for c in table.column("data").chunks if len(c)]).reshape(-1, dim)
             if full:
-                unit = flat.astype(np.float64)
-                unit /= np.linalg.norm(unit, axis=1)[:, None]
-                met = _exact(ids, unit, own, asks, wants, least, k)
+                met = _exact(ids, flat, own, asks, wants, least, k)
             else:
                 met = _search(ids, flat, scale, own, asks, wants, least - _CODE_ERROR, k, keep)
             bucket = table.column("bucket")[0].as_py()
@@ -361,7 +362,7 @@ def nearest(
         return of_bucket
 
     met = materialize(place(None).applyInArrow(search(False), lists), "met")
-    again = np.array([r.bucket for r in met.filter("id is null").select("bucket").distinct().collect()], dtype=np.int64)  # each with more than 8k rows
+    again = np.array(vast + [r.bucket for r in met.filter("id is null").select("bucket").distinct().collect()], dtype=np.int64)  # each with more than 8k rows
     if len(again):
         met = met.join(F.broadcast(met.filter("id is null").select("bucket").distinct()), "bucket", "left_anti").unionByName(place(again).applyInArrow(search(True), lists))
     # per query at most 8k candidates a bucket it came to

@@ -47,6 +47,17 @@ def test_hot_person_is_split(spark):
         assert recall >= (0.9 if bucket == 60 else 0.5)
 
 
+def test_vast_bucket_is_searched_whole(spark):
+    x = np.concatenate([_people(300, 10, seed=7), _people(1500, 1500, noise=0.002, seed=8)])
+    ids = np.random.default_rng(3).permutation(len(x)).astype(np.int64)
+    asked = list(range(300, 1800, 30))
+    df = _frame(spark, ids, x)
+    got = {(r.id, r.neighbour) for r in nearest(df, "id", "embedding", 128, 5, 0.7, bucket=8, queries=df.id.isin([int(ids[i]) for i in asked])).collect()}
+    want = _true(ids, x, 5, 0.7, asked)
+    print(f"recall in a vast bucket {len(got & want) / len(want)}")
+    assert len(got & want) / len(want) >= 0.9
+
+
 def test_dense_group_is_ranked_by_full_vectors(spark):
     for dim, noise in ((64, 0.009), (64, 0.0031), (128, 0.00001)):  # all but the first far within the error of the codes
         x = np.concatenate([_people(600, 12, dim, seed=5), _people(3000, 3000, dim, noise, seed=6)])
