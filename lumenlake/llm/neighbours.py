@@ -78,11 +78,11 @@ def _mix(cells: np.ndarray, salt: np.ndarray) -> np.ndarray:
 class Plan:
     """Hash functions for a collection: the same on every executor, drawn from a seed."""
 
-    def __init__(self, dim: int, size: int, width: float, far: float, bucket: int, tables: int, seed: int):
+    def __init__(self, dim: int, size: int, width: float, far: float, bucket: int, tables: int, seed: int, probes: int | None = None):
         rng = np.random.default_rng(seed)
         share = -math.log(collision(far, width))
         self.k = max(1, round(math.log(max(1.0, size / bucket)) / share))
-        self.probes = max(5, 2 * (self.k - 3)) if tables > 1 else max(2, 2 * self.k - 4)
+        self.probes = probes or (max(5, 2 * (self.k - 3)) if tables > 1 else max(2, 2 * self.k - 4))
         self.width, self.tables = width, tables
         spare = 12  # drawn and not used: the functions stay those for which recall was measured
         self.a = rng.standard_normal((tables, dim, self.k + spare))[:, :, : self.k]
@@ -104,10 +104,13 @@ class Plan:
         """
         for t in range(self.tables):
             projected = unit @ self.a[t] + self.b[t] * self.width
-            keys = _mix(_cells(projected / self.width, self.probes), self.salt[t]) ^ np.int64(t)
-            for p in range(keys.shape[1]):
-                rows = np.arange(len(unit)) if p == 0 else np.flatnonzero(probing)
-                key, mine = keys[rows, p], np.full(len(rows), p == 0)
+            home = _mix(np.floor(projected / self.width).astype(np.int64), self.salt[t]) ^ np.int64(t)
+            asking = np.flatnonzero(probing)
+            keys = _mix(_cells(projected[asking] / self.width, self.probes), self.salt[t]) ^ np.int64(t)
+            step = max(1, 20_000 // max(1, len(asking)))
+            for p in [0, *range(1, keys.shape[1], step)]:
+                rows = np.arange(len(unit)) if p == 0 else np.repeat(asking, len(range(keys.shape[1])[p : p + step]))
+                key, mine = home if p == 0 else keys[:, p : p + step].ravel(), np.full(len(rows), p == 0)
                 crowded = np.isin(key, self._hot(hot)) if hot else np.zeros(len(rows), dtype=bool)
                 calm = ~crowded
                 yield key[calm], np.zeros(int(calm.sum()), dtype=np.int32), rows[calm], mine[calm], probing[rows[calm]], probing[rows[calm]]
@@ -116,10 +119,10 @@ class Plan:
                     shares, blocks = hot[int(h)]
                     turn, block = ids[at] % shares, ids[at] // shares % blocks
                     for share, part in itertools.product(range(shares), range(blocks)):
-                        asking, home = probing[at] & (turn == share), (block == part) & (p == 0)
-                        here = asking | home
+                        asks, lives = probing[at] & (turn == share), (block == part) & (p == 0)
+                        here = asks | lives
                         n = int(here.sum())
-                        yield np.full(n, h), np.full(n, share * blocks + part, dtype=np.int32), at[here], home[here], asking[here], probing[at[here]] & (home[here] | (p > 0))
+                        yield np.full(n, h), np.full(n, share * blocks + part, dtype=np.int32), at[here], lives[here], asks[here], probing[at[here]] & (lives[here] | (p > 0))
 
     @staticmethod
     def _hot(hot: dict) -> np.ndarray:
@@ -279,6 +282,7 @@ def nearest(
     bucket: int = 2000,
     queries: Column | None = None,
     seed: int = 7,
+    probes: int | None = None,
 ) -> DataFrame:
     """The ``k`` most similar other vectors of every query with at least ``least`` similarity.
 
@@ -287,7 +291,8 @@ def nearest(
     valid (see ``valid_vector``) or whose identifier is null take no part; identifiers must be
     longs, and of repeated ones one stands for all. ``width`` is the cell width, ``far`` the distance of
     unrelated unit vectors and ``bucket`` the bucket size from which the number of projections
-    follows. The queries of buckets four times as full are shared
+    follows; ``probes`` is the number of other buckets that a query looks into, by default few more than
+    projections. The queries of buckets four times as full are shared
     out to several tasks, those of buckets 64 times as full meet its vectors in blocks. The result is
     approximate: what never shares a bucket isn't found (see the README for measured recall).
     Result: ``identifier, neighbour, similarity, place``.
@@ -296,7 +301,7 @@ def nearest(
     asks = F.coalesce(queries, F.lit(False)) if queries is not None else F.lit(True)
     rows = rows.select(F.col(identifier).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"), asks.alias("asks"))
     size = rows.count()
-    plan = Plan(dim, size, width, far, bucket, tables, seed)
+    plan = Plan(dim, size, width, far, bucket, tables, seed, probes)
 
     def unit_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x = _matrix(batch.column("v"), dim)
@@ -401,3 +406,13 @@ def face_neighbours(faces: DataFrame, k: int = 5, least: float = 0.7, queries: C
 def photo_neighbours(photos: DataFrame, k: int = 5, least: float = 0.99, queries: Column | None = None) -> DataFrame:
     """Cells are narrower, as only vectors within a distance of about 0.14 are asked for."""
     return nearest(photos, "id", "visual_features", 64, k, least, width=0.6, far=1.18, tables=1, queries=queries)
+
+
+def face_nearest(faces: DataFrame, k: int = 5, queries: Column | None = None) -> DataFrame:
+    """However far they are. Strangers are nearly at right angles, so faces alone in the collection need many probes."""
+    return nearest(faces, "id", "embedding", 128, k, -1.0, width=2.0, far=1.41, tables=2, queries=queries, probes=60)
+
+
+def photo_nearest(photos: DataFrame, k: int = 5, queries: Column | None = None) -> DataFrame:
+    """However far they are: mostly at a distance of 0.8, where all are at 1.2, so most buckets must be looked into."""
+    return nearest(photos, "id", "visual_features", 64, k, -1.0, width=2.0, far=1.18, tables=2, queries=queries, probes=200)

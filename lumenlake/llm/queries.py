@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lumenlake.llm.components import connected_components
 from lumenlake.llm.mixing import mix
 from lumenlake.llm.near_duplicates import photo_groups, photo_pairs
-from lumenlake.llm.neighbours import face_neighbours, photo_neighbours, similar_pairs
+from lumenlake.llm.neighbours import face_nearest, face_neighbours, photo_nearest, photo_neighbours, similar_pairs
 from lumenlake.llm.rank_merge import median_rank
 from lumenlake.llm.tokenizer import decode_ids, encode_texts
 from lumenlake.llm.topn import top_n_per_group
@@ -55,10 +55,10 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    """Every 50th record asks, all answer."""
+    """Every 50th record asks, all answer; however far the nearest are."""
     asks = F.col("id") % 50 == 0
-    faces = face_neighbours(_read(spark, sf, "faces"), queries=asks)
-    photos = photo_neighbours(_read(spark, sf, "photos"), queries=asks)
+    faces = face_nearest(_read(spark, sf, "faces"), queries=asks)
+    photos = photo_nearest(_read(spark, sf, "photos"), queries=asks)
     return faces.withColumn("kind", F.lit("face")).unionByName(photos.withColumn("kind", F.lit("photo")))
 
 

@@ -82,6 +82,20 @@ def test_copies_ties_and_bad_vectors(spark):
     assert face_neighbours(df.limit(0)).count() == 0
 
 
+def test_query_has_no_threshold(spark, tmp_path):
+    from lumenlake.llm.queries import p6_neighbours
+
+    rng = np.random.default_rng(9)
+    tables = {"photo": ("photos", "visual_features", rng.random((4000, 64))), "face": ("faces", "embedding", rng.standard_normal((4000, 128)))}
+    ids = np.arange(4000, dtype=np.int64)
+    for name, column, x in tables.values():
+        _frame(spark, ids, x).withColumnRenamed("embedding", column).write.parquet(str(tmp_path / f"{name}.parquet"))
+    rows = p6_neighbours(spark, str(tmp_path)).collect()
+    for kind, (_, _, x) in tables.items():
+        got, want = {(r.id, r.neighbour) for r in rows if r.kind == kind}, _true(ids, x, 5, -1, range(0, 4000, 50))
+        assert len(got) == len(want) == 400 and len(got & want) / len(want) >= 0.9
+
+
 def test_queries_only(spark):
     x = _people(400, 8, seed=4)
     ids = np.arange(len(x), dtype=np.int64)
