@@ -48,19 +48,23 @@ def collections_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Collections and links of members.
 
     Photos are ranked by quality, then higher id; the score is 0.8 times the mean quality of the best
-    ten plus up to 0.2 for the size; the cover is the first. Returns the collections ``key, kind, title,
+    ten plus up to 0.2 for the size; the cover is the first. Duplicates keep the order of ``position``
+    and have a fixed score; their cover is the first best. Returns the collections ``key, kind, title,
     photos, score, starts_at, ends_at, latitude, longitude, cover_photo_id`` and links
     ``key, photo_id, rank, score, prefix``.
     """
-    ranked = materialize(global_positions(rows.dropDuplicates(["key", "id"]), ["key"], [F.desc("quality"), F.desc("id")], [], "rank", "_tie").drop("_tie"), "ranked")
+    order = [F.asc("position")] * ("position" in rows.columns) + [F.desc("quality"), F.desc("id")]
+    ranked = materialize(global_positions(rows.dropDuplicates(["key", "id"]), ["key"], order, [], "rank", "_tie").drop("_tie"), "ranked")
     located = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     n = F.count("*")
+    fixed = F.when(F.col("key") == "duplicates:exact", 1.0).when(F.col("key") == "duplicates:near", 0.95)
+    best = F.min_by("id", F.struct(-F.col("quality"), "rank"))
     collections = ranked.groupBy("key").agg(
         F.min("kind").alias("kind"), F.min("title").alias("title"), n.alias("photos"),
-        F.least(F.lit(1.0), F.avg(F.when(F.col("rank") <= 10, F.col("quality"))) * 0.8 + F.least(n, F.lit(30)) / 150).alias("score"),
+        F.coalesce(fixed, F.least(F.lit(1.0), F.avg(F.when(F.col("rank") <= 10, F.col("quality"))) * 0.8 + F.least(n, F.lit(30)) / 150)).alias("score"),
         F.min("capture_at").alias("starts_at"), F.max("capture_at").alias("ends_at"),
         F.avg(F.when(located, F.col("latitude"))).alias("latitude"), F.avg(F.when(located, F.col("longitude"))).alias("longitude"),
-        F.max(F.when(F.col("rank") == 1, F.col("id"))).alias("cover_photo_id"),
+        F.when(fixed.isNotNull(), best).otherwise(F.max(F.when(F.col("rank") == 1, F.col("id")))).alias("cover_photo_id"),
     )
     links = ranked.select("key", F.col("id").alias("photo_id"), "rank", F.col("quality").alias("score"), "prefix")
     return collections, links
@@ -277,6 +281,23 @@ def near_duplicate_groups(photos: DataFrame) -> DataFrame:
     return union_find(near_duplicate_edges(photos), "photo_id", "prior_id").select(F.col("vertex").alias("photo_id"), F.col("root").alias("group_id"))
 
 
+def duplicate_members(photos: DataFrame) -> DataFrame:
+    """All exact and all near duplicates, each one collection; ``position`` is by group, then path or best.
+
+    They have neither time nor place.
+    """
+    exact = exact_duplicates(photos).select("id", "quality", F.col("group_number").alias("n"), "relative_path")
+    exact = global_positions(exact, [], [F.col("n"), F.col("relative_path"), F.col("id")], [], "position", "_tie").drop("_tie")
+    groups = materialize(near_duplicate_groups(photos), "near-groups")
+    numbered = global_positions(groups.select("group_id").distinct(), [], [F.col("group_id")], [], "n", "_tie").drop("_tie")
+    near = groups.join(numbered, "group_id").join(photos.select(F.col("id").alias("photo_id"), "quality"), "photo_id").select(F.col("photo_id").alias("id"), "quality", "n")
+    near = global_positions(near, [], [F.col("n"), F.desc("quality"), F.col("id")], [], "position", "_tie").drop("_tie")
+    prefix = {"exact": F.concat(F.lit("byte-identical duplicate group "), "n"), "near": F.concat(F.lit("visually similar group "), "n", F.lit("; best frame is ranked first"))}
+    nothing = [F.lit(None).cast(photos.schema[c].dataType).alias(c) for c in MEMBER[6:]]
+    parts = [rows.select(F.lit(f"duplicates:{x}").alias("key"), F.lit("duplicates").alias("kind"), F.lit(f"{x.title()} duplicates").alias("title"), prefix[x].alias("prefix"), "id", "quality", *nothing, "position") for x, rows in (("exact", exact), ("near", near))]
+    return parts[0].unionByName(parts[1])
+
+
 # -- highlights ------------------------------------------------------------------------
 
 
@@ -353,12 +374,13 @@ def highlight_members(photos: DataFrame) -> DataFrame:
 
 
 def all_members(photos: DataFrame, faces: DataFrame, settings: Settings = Settings(), calendar: DataFrame | None = None, trips: DataFrame | None = None, places: DataFrame | None = None) -> DataFrame:
-    """Members of all builders; a builder that fails is left out and named in a warning."""
+    """Members of all builders; ``faces`` has the cluster of each face. A builder that fails is left out and named in a warning."""
     import warnings
 
     builders: list[Callable[[], DataFrame]] = [
         lambda: highlight_members(photos), lambda: event_members(photos, settings), lambda: burst_members(photos, settings), lambda: folder_members(photos),
         lambda: recurring_members(photos), lambda: notable_day_members(photos), lambda: people_members(photos, faces), lambda: together_members(photos, faces),
+        lambda: duplicate_members(photos),
     ]
     if calendar is not None:
         builders.append(lambda: holiday_members(photos, calendar))
@@ -371,7 +393,7 @@ def all_members(photos: DataFrame, faces: DataFrame, settings: Settings = Settin
             warnings.warn(f"a collection builder failed: {e}", stacklevel=2)
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(p, allowMissingColumns=True)
     return out
 
 

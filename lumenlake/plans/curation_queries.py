@@ -118,6 +118,10 @@ def recurring_dates(t: Tables) -> DataFrame:
 _FESTIVE = ((1, 1, "New Year"), (5, 1, "Spring day"), (6, 24, "Midsummer"), (12, 24, "Winter eve"), (12, 31, "Year end"))
 
 
+def _calendar(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(date(y, m, d), n) for y in range(1980, 2031) for m, d, n in _FESTIVE], "day date, name string")
+
+
 @query(
     f"""WITH {_E}, {_DATED}, cal AS (SELECT make_date(y, mo, d) AS day, name FROM (SELECT unnest(range(1980, 2031)) AS y) CROSS JOIN (VALUES {', '.join(f"({m}, {d}, '{n}')" for m, d, n in _FESTIVE)}) v(mo, d, name)),
 h AS (SELECT dated.*, name FROM dated JOIN cal ON cal.day = capture_at::DATE QUALIFY count(*) OVER (PARTITION BY name) >= 3),
@@ -125,8 +129,7 @@ m AS (SELECT 'holiday:' || substr(sha1(name), 1, 10) AS key, 'notable-date' AS k
 )
 def holiday_groups(t: Tables) -> DataFrame:
     photos = C.eligible(t.photos)
-    days = [(date(y, m, d), n) for y in range(1980, 2031) for m, d, n in _FESTIVE]
-    return _collections(C.holiday_members(photos, photos.sparkSession.createDataFrame(days, "day date, name string")))
+    return _collections(C.holiday_members(photos, _calendar(photos.sparkSession)))
 
 
 @query(
@@ -272,7 +275,9 @@ def highlights(t: Tables) -> DataFrame:
 
 def _everything(t: Tables) -> DataFrame:
     photos = C.materialize(C.eligible(t.photos), "eligible")
-    return C.all_members(photos, t.faces, trips=R.trip_members(photos), places=R.place_members(photos, _place_clusters(photos)))
+    faces = t.faces.join(photos.select(F.col("id").alias("photo_id")), "photo_id", "left_semi")
+    clusters = C.materialize(_face_clusters(faces), "face-clusters")
+    return C.all_members(photos, clusters, calendar=_calendar(photos.sparkSession), trips=R.trip_members(photos), places=R.place_members(photos, _place_clusters(photos)))
 
 
 @query()
@@ -284,4 +289,4 @@ def curation_collections(t: Tables) -> DataFrame:
 def curation_links(t: Tables) -> DataFrame:
     links = C.collections_of(_everything(t))[1].withColumnRenamed("photo_id", "id")
     traits = t.photos.select("id", S.reason().alias("traits"))
-    return links.join(traits, "id").select("key", F.col("id").alias("photo_id"), "rank", F.round("score", 6).alias("score"), F.concat_ws(": ", "prefix", "traits").alias("reason"))
+    return links.join(traits, "id").select("key", F.col("id").alias("photo_id"), "rank", F.round("score", 6).alias("score"), F.when(F.col("key").startswith("duplicates:"), F.col("prefix")).otherwise(F.concat_ws(": ", "prefix", "traits")).alias("reason"))

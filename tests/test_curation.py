@@ -164,3 +164,23 @@ def test_a_failing_builder_costs_only_itself(spark, monkeypatch):
     with pytest.warns(UserWarning, match="builder failed"):
         kinds = {r.kind for r in C.all_members(photos, faces, Settings()).select("kind").distinct().collect()}
     assert "event" in kinds and "series" not in kinds and "folder" in kinds
+
+
+def test_everything_has_duplicates_holidays_and_newly_clustered_people(spark):
+    from types import SimpleNamespace
+
+    from lumenlake.plans.curation_queries import _everything
+
+    hashes = {1: ("b", "00000000000000ff", 0.5), 2: ("a", "00000000000000ff", 0.9), 3: ("b", "ffff000000000000", 0.5), 4: ("a", "ffff000000000001", 0.4), 5: (None, "ffff000000000003", 0.9)}
+    rows = [_photo(k, _T0 + timedelta(seconds=9 * k), file_hash=h, perceptual_hash=p, quality_score=q, relative_path=f"trip/{9 - k}.jpg") for k, (h, p, q) in hashes.items()]
+    photos = spark.createDataFrame([*rows, _photo(6, active=False)], _SCHEMA)
+    faces = spark.createDataFrame([(10 + k, k, [1.0] * 127 + [k / 10], 77 if k == 2 else None) for k in (1, 2, 3, 6)], "id long, photo_id long, embedding array<float>, cluster_id long")
+    collections, links = C.collections_of(_everything(SimpleNamespace(photos=photos, faces=faces)))
+    got = {r.key: r for r in collections.collect()}
+    assert got["person:11"].photos == 3 and "person:77" not in got and any(k.startswith("holiday:") for k in got)
+    exact, near = got["duplicates:exact"], got["duplicates:near"]
+    assert (exact.kind, exact.title, exact.photos, exact.score, exact.starts_at, exact.latitude) == ("duplicates", "Exact duplicates", 4, 1.0, None, None)
+    assert (near.title, near.score) == ("Near duplicates", 0.95) and near.cover_photo_id == 2
+    order = {k: [(r.photo_id, r.prefix) for r in links.filter(links.key == k).orderBy("rank").collect()] for k in ("duplicates:exact", "duplicates:near")}
+    assert order["duplicates:exact"] == [(k, f"byte-identical duplicate group {n}") for k, n in ((3, 1), (1, 1), (4, 2), (2, 2))]
+    assert order["duplicates:near"] == [(k, f"visually similar group {n}; best frame is ranked first") for k, n in ((2, 1), (1, 1), (5, 2), (3, 2), (4, 2))]
