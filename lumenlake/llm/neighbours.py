@@ -405,7 +405,7 @@ def face_neighbours(faces: DataFrame, k: int = 5, least: float = 0.7, queries: C
 
 def photo_neighbours(photos: DataFrame, k: int = 5, least: float = 0.99, queries: Column | None = None) -> DataFrame:
     """Cells are narrower, as only vectors within a distance of about 0.14 are asked for."""
-    return nearest(photos, "id", "visual_features", 64, k, least, width=0.6, far=1.18, tables=1, queries=queries)
+    return nearest(photos, "id", "visual_features", 64, k, least, width=0.6, far=1.18, tables=2, queries=queries)
 
 
 def face_nearest(faces: DataFrame, k: int = 5, queries: Column | None = None) -> DataFrame:

@@ -96,6 +96,13 @@ def test_query_has_no_threshold(spark, tmp_path):
         assert len(got) == len(want) == 400 and len(got & want) / len(want) >= 0.9
 
 
+def test_photos_have_a_second_table(spark, monkeypatch):
+    from lumenlake.llm import neighbours
+
+    monkeypatch.setattr(neighbours, "nearest", lambda *a, **x: x)
+    assert neighbours.photo_neighbours(None)["tables"] >= 2
+
+
 def test_queries_only(spark):
     x = _people(400, 8, seed=4)
     ids = np.arange(len(x), dtype=np.int64)
