@@ -2,7 +2,9 @@ import math
 import random
 from datetime import datetime, timedelta
 
-from lumenlake.operators.mobility import _circle, _hull, stops_and_trips, stops_of
+import numpy as np
+
+from lumenlake.operators.mobility import _candidates, _circle, _hull, low_movability, stops_and_trips, stops_of, valid_pings
 
 _T0 = datetime(2024, 5, 1, 8)
 _PHOTO = "id long, device_id long, capture_at timestamp_ntz, capture_source string, latitude double, longitude double, stretch string, pings int"
@@ -98,7 +100,7 @@ def test_detector_against_brute_force():
                 place = (place[0] + rng.uniform(-4000, 4000), place[1] + rng.uniform(-4000, 4000))
             off = (30_000.0, 0.0) if rng.random() < 0.08 else (rng.gauss(0, 60), rng.gauss(0, 60))
             pings.append((t, *_at(place[0] + off[0], place[1] + off[1])))
-        got = [(r.at, r.last) for r in stops_of(pings)]
+        got = [(r.at, r.last) for r in stops_of(*map(np.array, zip(*pings, strict=True)))]
         want = _brute(pings)
         same += got == want
         # every stop keeps the rule, whatever the choice among overlapping runs
@@ -111,3 +113,58 @@ def test_hot_device_is_cut_into_partitions(spark):
     pings = [(i, 1, 4 * i, "exif", *_at(0 if (i // 40) % 2 else 9000, (i % 5) * 20)) for i in range(4000)]
     got = stops_and_trips(_frame(spark, pings))
     assert got.filter("kind = 'stop'").count() == 100 and got.filter("kind = 'trip'").count() == 99
+
+
+def _line(rng, n):
+    """Pings of one device with stops, journeys and wrong positions, as arrays."""
+    t, place, rows = 0, (0.0, 0.0), []
+    while len(rows) < n:
+        if rng.random() < 0.4:  # under way
+            for _ in range(rng.randint(3, 30)):
+                place = (place[0] + rng.uniform(500, 1500), place[1] + rng.uniform(-200, 200))
+                t += rng.choice([60, 120]) * 1_000_000
+                rows.append((t, *_at(*place)))
+        for _ in range(rng.randint(3, 25)):
+            t += rng.choice([60, 180, 420, 900]) * 1_000_000
+            off = (40_000.0, 0.0) if rng.random() < 0.08 else (rng.gauss(0, 60), rng.gauss(0, 60))
+            rows.append((t, *_at(place[0] + off[0], place[1] + off[1])))
+    return tuple(map(np.array, zip(*rows, strict=True)))
+
+
+def test_windows_reject_journeys_and_keep_stops():
+    rng, rejected, all_pings = random.Random(5), 0, 0
+    for _ in range(20):
+        t, la, lo = _line(rng, 300)
+        step = np.r_[0.0, [math.hypot(*d) for d in zip(np.diff(la) * 111_195, np.diff(lo) * 75_800, strict=True)]]
+        # two days of silence around, so that no window leaves the rows
+        t2, la2, lo2 = np.r_[t[0] - 10**11, t, t[-1] + 10**11], np.r_[0.0, la, 0.0], np.r_[0.0, lo, 0.0]
+        line = np.r_[0, np.ones(len(t), dtype=int), 2]
+        low = low_movability(t2, line, la2, lo2, np.r_[0.0, np.cumsum(step), 0.0], 900 * 10**6, 600 * 10**6, 300.0)[1:-1]
+        rejected, all_pings = rejected + int((~low).sum()), all_pings + len(low)
+        keep = np.flatnonzero(low)
+        whole = [(r.at, r.last) for r in stops_of(t, la, lo)]
+        assert [(int(keep[r.at]), int(keep[r.last])) for r in stops_of(t[keep], la[keep], lo[keep], keep)] == whole
+    assert 0.1 * all_pings < rejected < 0.9 * all_pings
+
+
+def test_a_year_of_minutes_is_many_stretches(spark):
+    """One device that pings each minute and never rests eight hours: home, way, work, way, each day."""
+    minutes = 60 * 24 * 60
+    day = "pmod(id, 1440)"
+    north = f"case when {day} < 420 then 0 when {day} < 480 then ({day} - 420) * 400 when {day} < 1000 then 24000 when {day} < 1060 then (1060 - {day}) * 400 else 0 end"
+    frame = spark.range(minutes).selectExpr("id", "1L AS device_id", "timestampadd(MINUTE, CAST(id AS INT), timestamp_ntz'2024-01-01') AS capture_at", "'exif' AS capture_source",
+                                            f"47 + ({north} + pmod(id * 37, 50)) / 111195.0 AS latitude", "8.0 AS longitude")
+    got = stops_and_trips(frame)
+    assert got.filter("kind = 'stop'").count() == 121 and got.filter("kind = 'trip'").count() == 120
+    parts = _candidates(valid_pings(frame), 300.0, 600.0, 1800.0, 8 * 3600.0, 300.0).groupBy("stretch").count().collect()
+    assert len(parts) >= 100 and max(r["count"] for r in parts) < 3000
+
+
+def test_paths_leave_wrong_positions_out(spark):
+    pings = [(i, 1, 4 * i, "exif", *(_at(400_000, 0) if i % 4 == 2 else _at(10 * (i % 3), 0))) for i in range(40)]
+    pings += [(100 + i, 1, 300 + 10 * i, "exif", *(_at(900_000, 0) if i == 2 else _at(5000.0 * i, 0))) for i in range(6)]
+    pings += [(200 + i, 1, 400 + 15 * i, "exif", *_at(30_000, 10 * i)) for i in range(5)]
+    rows = {(r.kind, r.first_photo_id): r for r in stops_and_trips(_frame(spark, pings)).collect()}
+    stop, trip = rows["stop", 0], rows["trip", 39]
+    assert stop.last_photo_id == 39 and stop.path_m <= (stop.pings - 1) * 600 and stop.path_m < 1000
+    assert 29_000 < trip.distance_m <= trip.path_m < 32_000

@@ -1,4 +1,5 @@
 import gc
+import time
 from types import SimpleNamespace
 
 import pytest
@@ -26,6 +27,8 @@ def _collect_garbage(spark):
 
 
 def test_tables_go_with_their_last_reader(spark):
+    _collect_garbage(spark)
+    shared.sweep(spark)
     before = _tables(spark)
     table = shared.materialize(spark.range(100), "kept")
     doubled = table.selectExpr("id * 2 AS twice").filter("twice > 10")
@@ -34,8 +37,12 @@ def test_tables_go_with_their_last_reader(spark):
     shared.sweep(spark)
     assert doubled.count() == 94 and len(_tables(spark) - before) == 1
     del doubled
-    _collect_garbage(spark)
-    shared.sweep(spark)
+    for _ in range(20):  # Spark's own threads let go of it in their time
+        _collect_garbage(spark)
+        shared.sweep(spark)
+        if not _tables(spark) - before:
+            break
+        time.sleep(0.5)
     assert not _tables(spark) - before
 
 
