@@ -95,7 +95,7 @@ def set_pairs(df: DataFrame, identifier: str, tokens: Column, least: float = 0.8
     kind = df.schema[identifier].dataType.simpleString()
     clean = F.array_sort(F.array_distinct(F.filter(tokens, lambda x: x.isNotNull()).cast("array<long>")))
     rows = df.select(F.col(identifier).alias("id"), clean.alias("tokens")).filter("id is not null and size(tokens) > 0")
-    rows = rows.select("id", "tokens", F.xxhash64("tokens").alias("_h"))
+    rows = materialize(rows.select("id", "tokens", F.xxhash64("tokens").alias("_h")), "sets")
     classes = rows.groupBy("_h", "tokens").agg(F.min("id").alias("rep")).select("rep", "tokens", "_h", F.size("tokens").alias("size"))
     classes = materialize(classes, "set-classes")
     members = skew_join(rows.select("id", "_h", "tokens"), classes.select("_h", "tokens", "rep"), ["_h", "tokens"], rows.count()).select("id", "rep").distinct()
@@ -150,20 +150,25 @@ def set_pairs(df: DataFrame, identifier: str, tokens: Column, least: float = 0.8
     return both.select("rep_a", "rep_b", similarity.alias("similarity")).filter(F.col("similarity") >= least - 1e-12), members
 
 
-def shingles(text: Column, words: int = 5) -> Column:
-    """Hashes of all runs of ``words`` words of a text, in lower case and without punctuation; all words if they are fewer.
+def words_of(text: Column) -> Column:
+    """The words of a text, in lower case and without punctuation."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
 
-    Empty for texts without words.
+
+def shingles(parts: Column, words: int = 5) -> Column:
+    """Hashes of all runs of ``words`` words; of all words together if they are fewer; empty without words.
+
+    ``parts`` must be a column that exists: an expression would be evaluated for every run.
     """
-    parts = F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
     many = F.greatest(F.size(parts) - (words - 1), F.lit(1))
     runs = F.transform(F.sequence(F.lit(1), many), lambda i: F.xxhash64(F.array_join(F.slice(parts, i, words), " ")))
-    return F.when(F.size(parts) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<long>"))
+    return F.when(F.size(parts) > 0, runs).otherwise(F.array().cast("array<long>"))
 
 
 def text_groups(documents: DataFrame, identifier: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """One row per document with words: its class of equal shingle sets, the class's links, its group; whole texts count."""
-    pairs, members = set_pairs(documents, identifier, shingles(F.col(text), words), least)
+    split = materialize(documents.select(identifier, words_of(F.col(text)).alias("words")), "words")
+    pairs, members = set_pairs(split, identifier, shingles(F.col("words"), words), least)
     return _groups(pairs, members, identifier)
 
 
