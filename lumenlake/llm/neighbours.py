@@ -166,7 +166,7 @@ def _best(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int) -> np.n
 
 def _crowded(owner: np.ndarray, keep: int) -> bool:
     """Whether anyone of the sorted ``owner`` has more than ``keep`` rows."""
-    return bool(len(owner) > keep and (owner[keep:] == owner[:-keep]).any())
+    return bool(len(owner) > keep and (owner[keep:] == owner[: len(owner) - keep]).any())
 
 
 def _search(ids: np.ndarray, codes: np.ndarray, scale: np.ndarray, own: np.ndarray, asks: np.ndarray, wants: np.ndarray, least: float, k: int, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
@@ -262,6 +262,41 @@ def _exact(ids: np.ndarray, x: np.ndarray, own: np.ndarray, asks: np.ndarray, wa
     return o[order], n[order], v[order]
 
 
+def _search_classes(ids: np.ndarray, same: np.ndarray, codes: np.ndarray, scale: np.ndarray, own: np.ndarray, asks: np.ndarray, wants: np.ndarray, least: float, k: int, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """As ``_search``, with equal vectors (equal ``same``) searched once for all of them.
+
+    The ``k`` nearest classes hold the ``k`` nearest rows of each member, together with the copies of its own class;
+    of a class only the ``k + 1`` smallest identifiers can be among them.
+    """
+    order = np.lexsort((ids, same))
+    order = order[np.r_[True, (same[order][1:] != same[order][:-1]) | (ids[order][1:] != ids[order][:-1])]]
+    begins = np.flatnonzero(np.r_[True, same[order][1:] != same[order][:-1]])
+    if len(begins) == len(ids):
+        return _search(ids, codes, scale, own, asks, wants, least, k, keep)
+    ends = np.r_[begins[1:], len(order)]
+    rep = order[begins]
+    any_of = lambda flag: np.bitwise_or.reduceat(flag[order], begins)
+    met = _search(np.arange(len(rep)), codes[rep], scale[rep], any_of(own), any_of(asks), any_of(wants), least, k, keep)
+    if met is None:
+        return None
+    several = np.flatnonzero(ends - begins > 1)
+    itself = (codes[rep[several]].astype(np.float32) ** 2).sum(1) * scale[rep[several]] ** 2
+    c, o, s = np.r_[met[0], several].astype(np.int64), np.r_[met[1], several].astype(np.int64), np.r_[met[2], itself].astype(np.float32)
+    # members of the asking class, then the first identifiers of the class it met
+    n = ends[c] - begins[c]
+    row = order[np.repeat(begins[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    o, s = np.repeat(o, n), np.repeat(s, n)
+    asking = asks[row] | wants[row]
+    row, o, s = row[asking], o[asking], s[asking]
+    n = np.minimum(ends[o] - begins[o], k + 1)
+    other = ids[order[np.repeat(begins[o] - (np.cumsum(n) - n), n) + np.arange(n.sum())]]
+    owner, s = np.repeat(ids[row], n), np.repeat(s, n)
+    fine = (owner != other) & (s >= least)
+    owner, other, s = owner[fine], other[fine], s[fine]
+    best = _best(owner, other, s, k)
+    return owner[best], other[best], s[best]
+
+
 def valid_vector(column: str, dim: int) -> Column:
     """Full length, only finite numbers and not only zeros."""
     c = F.col(column)
@@ -283,6 +318,7 @@ def nearest(
     queries: Column | None = None,
     seed: int = 7,
     probes: int | None = None,
+    keep: int | None = None,
 ) -> DataFrame:
     """The ``k`` most similar other vectors of every query with at least ``least`` similarity.
 
@@ -292,14 +328,19 @@ def nearest(
     longs, and of repeated ones one stands for all. ``width`` is the cell width, ``far`` the distance of
     unrelated unit vectors and ``bucket`` the bucket size from which the number of projections
     follows; ``probes`` is the number of other buckets that a query looks into, by default few more than
-    projections. The queries of buckets four times as full are shared
-    out to several tasks, those of buckets 64 times as full meet its vectors in blocks. The result is
+    projections. ``keep`` bounds the candidates that the codes may leave a query in a bucket (8 k by default); a
+    bucket with a query of more is searched again on full vectors, so no candidate is lost, and with 0 all
+    are. Equal vectors are searched once for all. The queries of buckets four times as full are shared
+    out to several tasks, those of buckets 64 times as full meet its vectors in blocks; both only divide
+    the work, each query still meets the whole bucket. The result is
     approximate: what never shares a bucket isn't found (see the README for measured recall).
     Result: ``identifier, neighbour, similarity, place``.
     """
     rows = df.filter(F.col(identifier).isNotNull() & valid_vector(vector, dim))
     asks = F.coalesce(queries, F.lit(False)) if queries is not None else F.lit(True)
     rows = rows.select(F.col(identifier).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"), asks.alias("asks"))
+    rows = rows.withColumn("same", F.xxhash64("v"))
+    keep = 8 * k if keep is None else keep
     size = rows.count()
     plan = Plan(dim, size, width, far, bucket, tables, seed, probes)
 
@@ -331,6 +372,7 @@ def nearest(
                     continue
                 ids, unit, probing = unit_rows(batch)
                 codes, scale = _codes(unit)
+                same = batch.column("same").to_numpy()
                 sent = codes if only is None else _matrix(batch.column("v"), dim).astype(np.float32)
                 for key, part, at, own, asks, wants in plan.buckets(ids, unit, probing, hot):
                     if only is not None or vast:
@@ -338,24 +380,23 @@ def nearest(
                         key, part, at, own, asks, wants = key[here], part[here], at[here], own[here], asks[here], wants[here]
                     if len(at):
                         data = pa.Array.from_buffers(pa.binary(sent.itemsize * dim), len(at), [None, pa.py_buffer(np.ascontiguousarray(sent[at]))]).cast(pa.binary())
-                        columns = [pa.array(key), pa.array(part), pa.array(ids[at]), data, pa.array(scale[at]), pa.array(own), pa.array(asks), pa.array(wants)]
-                        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "part", "id", "data", "scale", "own", "asks", "wants"])
+                        columns = [pa.array(key), pa.array(part), pa.array(ids[at]), pa.array(same[at]), data, pa.array(scale[at]), pa.array(own), pa.array(asks), pa.array(wants)]
+                        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "part", "id", "same", "data", "scale", "own", "asks", "wants"])
 
-        return rows.mapInArrow(spread, "bucket long, part int, id long, data binary, scale float, own boolean, asks boolean, wants boolean").groupBy("bucket", "part")
+        return rows.mapInArrow(spread, "bucket long, part int, id long, same long, data binary, scale float, own boolean, asks boolean, wants boolean").groupBy("bucket", "part")
 
-    keep = 8 * k
     lists = "bucket long, id long, others array<long>, sims array<float>"
 
     def search(full: bool):
         def of_bucket(table: pa.Table) -> pa.Table:
-            ids, scale, *flags = (table.column(c).to_numpy() for c in ("id", "scale", "own", "asks", "wants"))
+            ids, same, scale, *flags = (table.column(c).to_numpy() for c in ("id", "same", "scale", "own", "asks", "wants"))
             own, asks, wants = (f.astype(bool) for f in flags)
             kind = np.dtype(np.float32 if full else np.int8)
             flat = np.concatenate([np.frombuffer(c.buffers()[2], dtype=kind, count=len(c) * dim, offset=np.frombuffer(c.buffers()[1], dtype=np.int32)[c.offset]) for c in table.column("data").chunks if len(c)]).reshape(-1, dim)
             if full:
                 met = _exact(ids, flat, own, asks, wants, least, k)
             else:
-                met = _search(ids, flat, scale, own, asks, wants, least - _CODE_ERROR, k, keep)
+                met = _search_classes(ids, same, flat, scale, own, asks, wants, least - _CODE_ERROR, k, keep)
             bucket = table.column("bucket")[0].as_py()
             if met is None:  # a row without a query asks for the full vectors
                 return pa.table({"bucket": pa.array([bucket], pa.int64()), "id": pa.array([None], pa.int64()), "others": pa.array([None], pa.list_(pa.int64())), "sims": pa.array([None], pa.list_(pa.float32()))})
@@ -370,7 +411,6 @@ def nearest(
     again = np.array(vast + [r.bucket for r in met.filter("id is null").select("bucket").distinct().collect()], dtype=np.int64)  # each with more than 8k rows
     if len(again):
         met = met.join(F.broadcast(met.filter("id is null").select("bucket").distinct()), "bucket", "left_anti").unionByName(place(again).applyInArrow(search(True), lists))
-    # per query at most 8k candidates a bucket it came to
     pooled = met.select("id", "others", "sims").repartition("id").select("id", F.explode(F.arrays_zip("others", "sims")).alias("e"))
     once = pooled.groupBy("id", F.col("e.others").alias("other")).agg(F.min(-F.col("e.sims")).alias("far"))
     first = once.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("far", "other"))).alias("best"))
@@ -390,7 +430,7 @@ def nearest(
     known = both.select("a", "b", "from_a", "from_b", "va", "vb").mapInArrow(exact, "a long, b long, from_a boolean, from_b boolean, similarity double").filter(F.col("similarity") >= least)
     ways = F.filter(F.array(F.struct(F.col("from_a").alias("ok"), F.col("a").alias("id"), F.col("b").alias("neighbour")), F.struct(F.col("from_b").alias("ok"), F.col("b").alias("id"), F.col("a").alias("neighbour"))), lambda e: e["ok"])
     directions = known.select(F.explode(ways).alias("w"), "similarity").select("w.id", "w.neighbour", "similarity")
-    order = Window.partitionBy("id").orderBy(F.col("similarity").desc(), "neighbour")  # at most 8k rows a query and bucket
+    order = Window.partitionBy("id").orderBy(F.col("similarity").desc(), "neighbour")  # of a query at most ``keep`` candidates a bucket it came to
     return directions.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select(F.col("id").alias(identifier), "neighbour", "similarity", "place")
 
 
