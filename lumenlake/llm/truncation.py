@@ -8,7 +8,8 @@ serve as negatives; those that look cut to a model trained on the other half of
 sample are taken out, since some of them are. The final model scores every record.
 
 Corpus statistics (how often a word occurs whole, at which lengths a source's values pile
-up) cover all records; only the fit uses a sample.
+up) cover all records; only the fit uses a sample. One pass over the texts gives all that a
+record's features need, and the word counts; whole texts are read, nothing is judged by a window.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +32,14 @@ from lumenlake.shared import materialize
 _BITS = 18
 #: So many features, the first ones, tell how the length stands to the source's limit.
 _LIMIT_FEATURES = 5
-_TAIL = 240
 _STOPS = ".!?。！？؟।"
+_QUOTES = "\"'”’»」』)]"
 _ELLIPSIS = re.compile(r"\s*(\[\s*(?:…|\.{3})\s*\]|\(\s*(?:…|\.{3})\s*\)|…|\.{3}|&hellip;)$")
 _SENTENCE_END = re.compile(r"[.!?。！？؟।][\"'”’»」』)\]]*(?=\s|$)|[。！？]|\n")
 _WORD = re.compile(r"[^\W\d_]+")
-_LAST_WORD = re.compile(r"[^\W\d_]+$")
 _STAMP = re.compile(r"\d{4}-\d\d-\d\dT\d\d:")
+_ZEROS = str.maketrans("123456789", "0" * 9)
+_LETTERS = bytes(c if chr(c).isalpha() and c < 128 else 32 for c in range(256))
 #: A value is cut for training at most so many times.
 _CUTS = 2
 
@@ -44,26 +47,33 @@ _CUTS = 2
 def split_ellipsis(text: str) -> tuple[str, str]:
     """The text without blanks and an ellipsis at its end, and what kind of ellipsis that was."""
     core = text.rstrip()
-    m = _ELLIPSIS.search(core)
+    if core[-1:] not in ("…", ".", "]", ")", ";"):
+        return core, ""
+    last = core[-1:]
+    if last in "])":
+        opened = core.rfind("[" if last == "]" else "(")
+        m = _ELLIPSIS.match(core, opened) if opened >= 0 else None
+    else:
+        at = len(core) - {"…": 1, ".": 3, ";": 8}[last]
+        m = _ELLIPSIS.match(core, at) if at >= 0 else None
     if not m:
         return core, ""
     # of four dots the first is the sentence's own
-    return core[: m.start()].rstrip(), "box" if m.group(1)[0] in "[(" else "dots"
+    return core[: m.start(1)].rstrip(), "box" if last in "])" else "dots"
 
 
 def shape_of(text: str) -> str:
     """json, csv, log, list or prose."""
-    head = text.lstrip()[:2000]
-    if head[:1] in "{[" and re.match(r"[{\[]\s*([\"{\[\]}\-\d]|true|false|null|$)", head):
+    head = text.lstrip()
+    if head[:1] in ("{", "[") and re.match(r"[{\[]\s*([\"{\[\]}\-\d]|true|false|null|$)", head):
         return "json"
     if _STAMP.match(head):
         return "log"
-    first = head.split("\n", 1)
-    if len(first) > 1 and first[0].count(",") >= 2 and " " not in first[0].strip() and not re.search(r"[.!?]", first[0]):
+    line, broken, _ = head.partition("\n")
+    if broken and line.count(",") >= 2 and " " not in line.strip() and not re.search(r"[.!?]", line):
         return "csv"
     for sep in (";", " | ", ","):
-        parts = head[:400].split(sep)
-        if len(parts) >= 3 and max(len(p.split()) for p in parts) <= 2:
+        if head.count(sep) >= 2 and all(len(p.split(None, 2)) <= 2 for p in head.split(sep)):
             return "list"
     return "prose"
 
@@ -80,69 +90,98 @@ def structure_of(core: str, shape: str) -> str:
         if core.count('"') % 2:
             return "open"
         plain = re.sub(r'"[^"]*"', "", core)
-        lines = plain.split("\n")
-        return "ok" if len(lines) > 1 and lines[-1].count(",") == lines[0].count(",") else "open"
+        first, last = plain.partition("\n"), plain.rpartition("\n")
+        return "ok" if first[1] and last[2].count(",") == first[0].count(",") else "open"
     if shape == "log":
         line = core.rsplit("\n", 1)[-1]
-        return "-" if _STAMP.match(line) and len(line.split()) > 2 else "open"
+        return "-" if _STAMP.match(line) and len(line.split(None, 2)) > 2 else "open"
     return "-"
 
 
-def describe(text: str, structured: bool = True) -> tuple[str, str, str, str, int, str]:
-    """``core tail, ellipsis, shape, structure, sentences before the last one, last word``."""
-    core, mark = split_ellipsis(text)
-    shape = shape_of(text)
-    ends = [m.end() for m in _SENTENCE_END.finditer(core[-2000:])]
-    word = _LAST_WORD.search(core[-80:])
-    return core[-_TAIL:], mark, shape, structure_of(core, shape) if structured else "-", len(ends), word.group(0).lower() if word else ""
+def last_word(core: str) -> str:
+    """The letters that the text ends with, in lower case."""
+    at = len(core)
+    while at and core[at - 1].isalpha():
+        at -= 1
+    return core[at:].lower()
 
 
-def feature_names(tail: str, mark: str, shape: str, structure: str, sentences: int, source: str, known: int, at_limit: str) -> list[str]:
-    """The features of one value, as strings."""
-    last = tail[-1:]
+def _since_last_end(core: str) -> tuple[bool, str]:
+    """Whether any sentence ends in the text, and what follows the last one that does."""
+    for window in (240, len(core)):  # the last end, wherever it is; mostly it is near
+        begin = max(0, len(core) - window)
+        at = -1
+        for m in _SENTENCE_END.finditer(core, begin):
+            at = m.end()
+        if at >= 0:
+            return True, core[at:].strip()
+    return False, core.strip()
+
+
+def describe(text: str, source: str) -> tuple:
+    """``word, mark, structure, stopped, kind, start, sign, paired`` of a text and the names of its features, but for the corpus's."""
+    core, mark = split_ellipsis(text)
+    shape = shape_of(text)
+    structure = structure_of(core, shape)
+    word = last_word(core)
+    many, rest = _since_last_end(core)
+    last = core[-1:]
     kind = "L" if last.isalpha() else "D" if last.isdigit() else last
-    low = re.sub(r"\d", "0", tail[-120:].lower())
-    words = low.split()
-    word = words[-1] if words else ""
-    ends = list(_SENTENCE_END.finditer(tail))
-    cut = ends[-1].end() if ends else 0
-    rest = tail[cut:].strip()
-    stopped = not rest and last in _STOPS or bool(re.search(r"[.!?。！？؟।][\"'”’»」』)\]]*$", tail))
-    style = "multi" if sentences else "one"
-    start = rest.split()[:2] if not stopped else []
-    seen = "none" if not _LAST_WORD.search(tail[-80:]) else str(min(6, int(np.log10(known + 1) * 2)))
-    style_of = f"{source}|{shape}|{style}"
-    out = [f"lim={at_limit}", f"limk={at_limit}|{stopped}", f"limseen={at_limit}|{seen}", f"lims={at_limit}|{source}", f"limst={at_limit}|{structure}"]
-    out += [
+    closing = [x.translate(_ZEROS) for x in core.lower().rsplit(None, 4)[-4:]]
+    low = core[-5:].lower().translate(_ZEROS)
+    stopped = (not rest and last in _STOPS) or core.rstrip(_QUOTES)[-1:] in tuple(_STOPS)
+    style = "multi" if many else "one"
+    start = [] if stopped else rest.split(None, 2)[:2]
+    sign = rest[:1] if rest and not rest[:1].isalnum() else ""
+    style_of, first, end = f"{source}|{shape}|{style}", " ".join(start[:1])[:24], closing[-1] if closing else ""
+    left = -1 if stopped else min(12, rest.count(" ") + 1 if rest else 0)
+    names = [
         "bias", f"k={kind}", f"sk={source}|{kind}", f"hk={shape}|{style}|{kind}", f"st={structure}|{shape}", f"m={mark}|{stopped}", f"m={mark}",
-        f"stop={stopped}", f"ss={style_of}|{stopped}", f"seen={seen}", f"seenk={seen}|{stopped}", f"seens={source}|{seen}",
-        f"w1={word}", f"w1h={shape}|{style}|{word}", f"w2={' '.join(words[-2:])}", f"w3={' '.join(words[-3:])}", f"w4={' '.join(words[-4:])}",
-        f"r0={style}|{' '.join(start[:1])[:24]}", f"r0s={' '.join(start[:1])[:24]}|{seen}|{kind}", f"sg={rest[:1] if not rest[:1].isalnum() else ''}|{seen}|{kind}", f"r1={style}|{' '.join(start)[:40]}", f"rn={style_of}|{min(12, len(rest.split())) if not stopped else -1}",
+        f"stop={stopped}", f"ss={style_of}|{stopped}", f"w1={end}", f"w1h={shape}|{style}|{end}", f"w2={' '.join(closing[-2:])}", f"w3={' '.join(closing[-3:])}",
+        f"w4={' '.join(closing)}", f"r0={style}|{first}", f"r1={style}|{' '.join(start)[:40]}", f"rn={style_of}|{left}", f"c2={low[-2:]}", f"c3={low[-3:]}", f"c4={low[-4:]}", f"c5={low}",
+        f"pc={shape}|{low[-2:-1]}{kind}", f"open={core.count('(') > core.count(')')}|{core.count('“') > core.count('”')}", f"blank={core[-12:].count(' ')}",
+    ]
+    return word, mark, structure, bool(stopped), kind, first, sign, rest.count("(") == rest.count(")"), names
+
+
+def corpus_features(source: str, word: str, structure: str, stopped: bool, kind: str, start: str, sign: str, paired: bool, known: int, at_limit: str) -> list[str]:
+    """The features that depend on word counts and on the lengths of the source; those of the length first."""
+    seen = "none" if not word else str(min(6, int(np.log10(known + 1) * 2)))
+    return [
+        f"lim={at_limit}", f"limk={at_limit}|{stopped}", f"limseen={at_limit}|{seen}", f"lims={at_limit}|{source}", f"limst={at_limit}|{structure}",
+        f"seen={seen}", f"seenk={seen}|{stopped}", f"seens={source}|{seen}", f"r0s={start}|{seen}|{kind}", f"sg={sign}|{seen}|{kind}", f"pair={kind}|{paired}|{seen}",
     ]
-    out += [f"c{n}={low[-n:]}" for n in (2, 3, 4, 5)]
-    out += [f"pc={shape}|{low[-2:-1]}{kind}", f"open={tail.count('(') > tail.count(')')}|{tail.count('“') > tail.count('”')}", f"blank={tail[-12:].count(' ')}", f"pair={kind}|{rest.count('(') == rest.count(')')}|{seen}"]
-    return out
 
 
-def _hashed(names: list[str]) -> np.ndarray:
-    return np.array([zlib.crc32(n.encode("utf-8", "surrogatepass")) >> (32 - _BITS) for n in names], dtype=np.int32)
+def _hashed(names: list[list[str]]) -> np.ndarray:
+    """Feature indices of many rows of feature names at once."""
+    flat = np.array([n for row in names for n in row], dtype=object)
+    h = pd.util.hash_array(flat, categorize=False) >> np.uint64(64 - _BITS)
+    return h.astype(np.int32).reshape(len(names), -1)
 
 
 def fit_logistic(rows: np.ndarray, labels: np.ndarray, epochs: int = 12, rate: float = 0.25, decay: float = 2e-6, batch: int = 256, seed: int = 1) -> np.ndarray:
-    """Hashed logistic regression by AdaGrad; ``rows`` holds as many feature indices a row."""
+    """Hashed logistic regression by AdaGrad; ``rows`` holds as many feature indices a row.
+
+    Rows are drawn into batches once; each epoch takes the batches in another order.
+    """
     w, g2 = np.zeros(1 << _BITS), np.full(1 << _BITS, 1e-2)
     rng = np.random.default_rng(seed)
+    order = rng.permutation(len(rows))
+    batches = []
+    for at in range(0, len(order), batch):
+        x = rows[order[at : at + batch]]
+        touched, inverse = np.unique(x.reshape(-1), return_inverse=True)
+        batches.append((touched, inverse.reshape(x.shape), labels[order[at : at + batch]]))
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for at in range(0, len(order), batch):
-            k = order[at : at + batch]
-            x = rows[k]
-            p = 1 / (1 + np.exp(-np.clip(w[x].sum(1), -30, 30)))
-            err = (p - labels[k]) / len(k)
-            at_w, inverse = np.unique(x.reshape(-1), return_inverse=True)
-            g = np.bincount(inverse, np.repeat(err, x.shape[1]), len(at_w)) + decay * w[at_w]
-            g2[at_w] += g * g
-            w[at_w] -= rate * g / np.sqrt(g2[at_w])
+        for k in rng.permutation(len(batches)):
+            touched, at, y = batches[k]
+            mine = w[touched]
+            err = (1 / (1 + np.exp(-np.clip(mine[at].sum(1), -30, 30))) - y) / len(y)
+            g = np.bincount(at.reshape(-1), np.repeat(err, at.shape[1]), len(touched)) + decay * mine
+            squares = g2[touched] + g * g
+            g2[touched] = squares
+            w[touched] = mine - rate * g / np.sqrt(squares)
     return w
 
 
@@ -161,7 +200,7 @@ def fit_cut_model(frame: pd.DataFrame, seed: int = 1) -> np.ndarray:
     rows = np.stack(frame["features"].to_numpy())
     labels, fold = frame["cut"].to_numpy().astype(np.float64), frame["fold"].to_numpy()
     blind = rows.copy()
-    blind[:, :_LIMIT_FEATURES] = blind[0, _LIMIT_FEATURES]
+    blind[:, :_LIMIT_FEATURES] = _hashed([["bias"]])[0, 0]
     keep = (labels == 1) | (frame["suspect"].to_numpy() == 0)
     for x in (blind, rows):
         score = np.zeros(len(x))
@@ -207,50 +246,77 @@ def _texts(documents: DataFrame) -> DataFrame:
     return rows.filter(F.col("text").rlike(r"\S"))
 
 
-def length_limits(texts: DataFrame, least: int = 5, times: float = 6.0, shortest: int = 20) -> DataFrame:
+def length_limits(described: DataFrame, least: int = 5, times: float = 6.0, shortest: int = 20) -> DataFrame:
     """``source, n``: lengths at which a source's values pile up against the ten lengths around."""
-    counts = texts.groupBy("source", F.length("text").cast("long").alias("n")).agg(F.count("*").alias("c"))
+    counts = described.groupBy("source", "n").agg(F.count("*").alias("c"))
     around = Window.partitionBy("source").orderBy("n").rangeBetween(-5, 5)  # one row a length
     near = counts.withColumn("near", F.sum("c").over(around) - F.col("c"))
     return near.filter((F.col("n") >= shortest) & (F.col("c") >= least) & (F.col("c") >= times * (F.col("near") / 10 + 0.5))).select("source", "n")
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """How often each word occurs with something behind it, over all texts."""
-    whole = re.compile(_WORD.pattern + r"(?=.)", re.DOTALL)
+_DESCRIBED = "source string, n long, word string, mark string, structure string, stopped boolean, kind string, start string, sign string, paired boolean, base array<int>"
+_KINDS = [pa.string(), pa.int64(), *[pa.string()] * 3, pa.bool_(), *[pa.string()] * 3, pa.bool_()]
+_NAMES = [c.split()[0] for c in _DESCRIBED.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "c": pa.array(list(seen.values()), pa.int64())})
+def _described(texts: list[str], sources: list[str]) -> list[pa.Array]:
+    """The columns of ``_DESCRIBED``."""
+    d = list(map(describe, texts, sources))
+    base = _hashed([x[-1] for x in d])
+    columns = [sources, [len(t) for t in texts], *zip(*(x[:-1] for x in d), strict=True)]
+    return [*(pa.array(x, k) for x, k in zip(columns, _KINDS, strict=True)), pa.FixedSizeListArray.from_arrays(pa.array(base.reshape(-1)), base.shape[1]).cast(pa.list_(pa.int32()))]
 
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                for w in whole.findall(t):
-                    w = w.lower()
-                    seen[w] = seen.get(w, 0) + 1
-                if len(seen) > 200_000:
-                    yield out()
-                    seen.clear()
-        if seen:
-            yield out()
 
-    return texts.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("known"))
+class _Words:
+    """Counts the words that have something behind them; texts of plain letters are counted as bytes."""
 
+    def __init__(self) -> None:
+        self.plain: Counter[bytes] = Counter()
+        self.other: Counter[str] = Counter()
 
-_DESCRIBED = "source string, n long, tail string, mark string, shape string, structure string, sentences int, word string"
+    def add(self, text: str) -> None:
+        plain = text.isascii()
+        words = text.lower().encode().translate(_LETTERS).split() if plain else _WORD.findall(text.lower())
+        if words and text[-1].isalpha():
+            words.pop()
+        (self.plain if plain else self.other).update(words)
+
+    def __len__(self) -> int:
+        return len(self.plain) + len(self.other)
+
+    def take(self) -> tuple[list[str], list[int]]:
+        out = [*(w.decode() for w in self.plain), *self.other], [*self.plain.values(), *self.other.values()]
+        self.__init__()
+        return out
 
 
-def _describe_all(texts: DataFrame, kind: str) -> DataFrame:
+def _one_pass(texts: DataFrame, kind: str) -> DataFrame:
+    """A row ``doc_id, <described>`` per text and, with a count ``c``, a row per word and task."""
+    names = ["doc_id", *_NAMES, "c"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, types = _Words(), None
+
+        def counted() -> pa.RecordBatch:
+            words, counts = seen.take()
+            columns = {n: pa.nulls(len(words), t) for n, t in types.items()} | {"word": pa.array(words, pa.string()), "c": pa.array(counts, pa.int64())}
+            return pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+
         for b in batches:
+            if not b.num_rows:
+                continue
             text = b.column("text").to_pylist()
-            d = list(zip(*map(describe, text), strict=True)) or [()] * 6
-            columns = [b.column("doc_id"), b.column("source"), pa.array([len(t) for t in text], pa.int64()), *(pa.array(x, pa.string()) for x in d[:4]), pa.array(d[4], pa.int32()), pa.array(d[5], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *(c.split()[0] for c in _DESCRIBED.split(", "))])
+            for t in text:
+                seen.add(t)
+            out = pa.RecordBatch.from_arrays([b.column("doc_id"), *_described(text, b.column("source").to_pylist()), pa.nulls(len(text), pa.int64())], names=names)
+            types = dict(zip(out.schema.names, out.schema.types, strict=True))
+            yield out
+            if len(seen) > 200_000:
+                yield counted()
+        if len(seen):
+            yield counted()
 
-    return texts.mapInArrow(run, f"doc_id {kind}, {_DESCRIBED}")
+    return texts.mapInArrow(run, f"doc_id {kind}, {_DESCRIBED}, c long")
 
 
 def _cut_sample(texts: DataFrame, limits: DataFrame, seed: int) -> DataFrame:
@@ -259,17 +325,17 @@ def _cut_sample(texts: DataFrame, limits: DataFrame, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            rows = []  # text, source, at_limit, cut, suspect, fold, code
             for text, source, limits in zip(*(b.column(c).to_pylist() for c in ("text", "source", "limits")), strict=True):
                 limits, code = limits or [], zlib.crc32(text.encode("utf-8", "surrogatepass"))
-                d, at = describe(text), len(text) in limits
-                rows.append((source, len(text), *d, "at" if at else "off", 0, int(at or d[1] != ""), code & 1, code))
+                at = len(text) in limits
+                rows.append((text, source, "at" if at else "off", 0, int(at or split_ellipsis(text)[1] != ""), code & 1, code))
                 for piece, stand in cut_places(text, limits, np.random.default_rng([code, seed]), 1):
-                    rows.append((source, len(piece), *describe(piece), stand if limits else "off", 1, 0, code & 1, code))
+                    rows.append((piece, source, stand if limits else "off", 1, 0, code & 1, code))
             if rows:
-                kinds = [pa.string(), pa.int64(), *[pa.string()] * 4, pa.int32(), pa.string(), pa.string(), *[pa.int32()] * 3, pa.int64()]
-                names = [c.split()[0] for c in _DESCRIBED.split(", ")] + ["at_limit", "cut", "suspect", "fold", "code"]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                text, source, *rest = map(list, zip(*rows, strict=True))
+                kinds = [pa.string(), *[pa.int32()] * 3, pa.int64()]
+                yield pa.RecordBatch.from_arrays([*_described(text, source), *(pa.array(x, k) for x, k in zip(rest, kinds, strict=True))], names=[*_NAMES, "at_limit", "cut", "suspect", "fold", "code"])
 
     joined = texts.select("source", "text").join(by_source, "source", "left")
     return joined.mapInArrow(run, f"{_DESCRIBED}, at_limit string, cut int, suspect int, fold int, code long")
@@ -277,18 +343,19 @@ def _cut_sample(texts: DataFrame, limits: DataFrame, seed: int) -> DataFrame:
 
 def _features(described: DataFrame, keep: list[str], weights: np.ndarray | None) -> DataFrame:
     """The hashed features of described values, or with ``weights`` their score."""
-    names = ["tail", "mark", "shape", "structure", "sentences", "source", "known", "at_limit"]
+    names = ["source", "word", "structure", "stopped", "kind", "start", "sign", "paired", "known", "at_limit"]
     shipped = None if weights is None else described.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            rows = np.stack([_hashed(feature_names(*r)) for r in zip(*(b.column(c).to_pylist() for c in names), strict=True)])
+            rows = _hashed(list(map(corpus_features, *(b.column(c).to_pylist() for c in names))))
+            rows = np.hstack([rows, b.column("base").flatten().to_numpy().reshape(b.num_rows, -1)])
             if shipped is None:
                 out = pa.FixedSizeListArray.from_arrays(pa.array(rows.reshape(-1)), rows.shape[1]).cast(pa.list_(pa.int32()))
             else:
-                out = pa.array(_score(shipped.value.astype(np.float64), rows))
+                out = pa.array(_score(shipped.value, rows).astype(np.float64))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), out], names=[*keep, "features" if shipped is None else "score"])
 
     kinds = ", ".join(f"{c} {described.schema[c].dataType.simpleString()}" for c in keep)
@@ -300,15 +367,16 @@ def score_truncation(documents: DataFrame, sample: int = 40_000, seed: int = 1)
 
     ``sample`` bounds (in expectation) the values the classifier is fitted on, chosen by the
     hash of their identifier; each gives itself and one cut. Everything else covers all texts.
-    Texts are judged whole. Null, empty and blank texts score 0. A null source is a source of its own.
+    Texts are judged whole: shape, structure, brackets and sentences are those of the whole text, and the last words
+    and characters are its last, however long it is. Null, empty and blank texts score 0. A null source is a source of its own.
     """
-    spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
     texts = _texts(documents)
-    described = materialize(_describe_all(texts, kind), "described")
+    passed = materialize(_one_pass(texts, kind), "described")
+    described = passed.filter("c is null").drop("c")
     total = described.count()
-    limits = materialize(length_limits(texts), "limits")
-    words = materialize(word_counts(texts), "words")
+    limits = materialize(length_limits(described), "limits")
+    words = materialize(passed.filter("c is not null").groupBy("word").agg(F.sum("c").alias("known")), "words")
     blank = documents.filter(~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))).select("doc_id", "source", F.lit(0.0).alias("score"))
     if not total:
         return blank
@@ -316,8 +384,8 @@ def score_truncation(documents: DataFrame, sample: int = 40_000, seed: int = 1)
     share = min(1.0, sample / total)
     chosen = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
     drawn = _cut_sample(texts.filter(chosen), limits, seed).join(words, "word", "left").fillna(0, ["known"])
-    frame = _features(drawn, ["cut", "suspect", "fold", "code", "tail"], None).toArrow().to_pandas()
-    frame = frame.sort_values(["code", "cut", "tail"], kind="stable").reset_index(drop=True)
+    frame = _features(drawn, ["cut", "suspect", "fold", "code", "n"], None).toArrow().to_pandas()
+    frame = frame.sort_values(["code", "cut", "n"], kind="stable").reset_index(drop=True)
     if frame["cut"].nunique() < 2:  # nothing that could be cut
         return described.select("doc_id", F.when(F.col("source") != "?", F.col("source")).alias("source"), F.lit(0.0).alias("score")).unionByName(blank)
     weights = fit_cut_model(frame, seed)

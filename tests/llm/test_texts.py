@@ -161,6 +161,34 @@ def test_ends_and_structure():
 
 
 def test_fit_separates():
-    frame = pd.DataFrame([(T._hashed(T.feature_names(t, "", "prose", "-", 1, "s", n, "off")), c, 0, k & 1) for k in range(200) for t, n, c in ((f"the sky {k}. All was well.", 50, 0), (f"the sky {k}. All was we", 0, 1))], columns=["features", "cut", "suspect", "fold"])
+    def names(t):
+        *mine, base = T.describe(t, "s")
+        word, _, structure, stopped, kind, start, sign, paired = mine
+        return T.corpus_features("s", word, structure, stopped, kind, start, sign, paired, 0, "off") + base
+
+    values = [(t, c, k & 1) for k in range(200) for t, c in ((f"the sky {k}. All was well.", 0), (f"the sky {k}. All was we", 1))]
+    rows = T._hashed([names(t) for t, _, _ in values])
+    frame = pd.DataFrame({"features": list(rows), "cut": [c for _, c, _ in values], "suspect": 0, "fold": [f for _, _, f in values]})
     w = T.fit_cut_model(frame)
-    assert ((T._score(w, np.stack(frame["features"].to_numpy())) > 0.5) == (frame["cut"] == 1)).all()
+    assert ((T._score(w, rows) > 0.5) == (frame["cut"] == 1)).all()
+
+
+def test_whole_texts_are_judged():
+    sentence, gap = "It rained. ", "ab cd " * 2000
+    assert T.describe(f"He said (and{gap}", "s")[-1][-2] == "open=True|False"
+    assert T._since_last_end(sentence + gap) == (True, gap.strip())
+    assert T.shape_of("a" * 3000 + ",b,c\n1,2,3") == "csv" and T.shape_of("; ".join(["tag"] * 500) + "; these are many words") == "prose"
+    assert T.last_word("w" * 500) == "w" * 500 and T.last_word("end.") == "" and T.last_word("") == ""
+    for text in ("x …", "(...)", "[…]", "...", "a & b &hellip;", "…", ")", "]", ";", "a]", "f(x)", "(a) (b...)"):
+        slow = T._ELLIPSIS.search(text.rstrip())
+        assert (T.split_ellipsis(text)[1] != "") == bool(slow)
+
+
+def test_word_counts_need_something_behind():
+    words = T._Words()
+    for t in ("The cat sat", "the Cat.", "naïve cat_1 the", ""):
+        words.add(t)
+    assert dict(zip(*words.take(), strict=True)).get("cat") is not None
+    for t in ("The cat sat", "the Cat."):
+        words.add(t)
+    assert dict(zip(*words.take(), strict=True)) == {"the": 2, "cat": 2} and len(words) == 0
