@@ -44,15 +44,15 @@ def test_a_failed_run_leaves_no_trace(spark, tmp_path):
     log = CommitLog(spark, str(tmp_path / "log"))
     rows = spark.range(10).withColumnRenamed("id", "seq")
 
-    def broken(window, earlier, write):
+    def broken(window, last, write):
         write("out", window)
         raise RuntimeError("executor lost")
 
     with pytest.raises(RuntimeError):
         run_increment(log, rows, "seq", broken)
     assert log.commits() == [] and log.outputs("out") is None
-    run_increment(log, rows, "seq", lambda window, earlier, write: write("out", window))
-    run_increment(log, rows.unionByName(spark.createDataFrame([(10,), (11,)], "seq long")), "seq", lambda window, earlier, write: write("out", window))
+    run_increment(log, rows, "seq", lambda window, last, write: write("out", window) and None)
+    run_increment(log, rows.unionByName(spark.createDataFrame([(10,), (11,)], "seq long")), "seq", lambda window, last, write: write("out", window) and None)
     assert sorted(r.seq for r in log.outputs("out").collect()) == list(range(12))
 
 
@@ -60,9 +60,9 @@ def test_two_runs_at_once_cannot_both_commit(spark, tmp_path):
     log = CommitLog(spark, str(tmp_path / "log"))
     rows = spark.range(3).withColumnRenamed("id", "seq")
 
-    def overtaken(window, earlier, write):
+    def overtaken(window, last, write):
         write("out", window)
-        log.add(0, {"number": 0, "low": None, "watermark": 2, "outputs": {}})
+        log.add(0, {"number": 0, "run": "other", "low": None, "watermark": 2, "outputs": {}, "state": None})
 
     with pytest.raises(CommitConflict):
         run_increment(log, rows, "seq", overtaken)
@@ -75,3 +75,47 @@ def test_nulls_nan_and_empty(spark, tmp_path):
     rows = _entries(spark, [(1, "a", None, None, None), (2, "b", 1, nan, 1), (3, "c", 1, 1.0, 1), (4, "e", 1, None, 1), (None, "f", 1, 1.0, 1)])
     assert _cases(changed_files(CommitLog(spark, str(tmp_path / "l1")), rows, photos)) == {"c": "undone", "e": "changed"}
     assert _cases(changed_files(CommitLog(spark, str(tmp_path / "l2")), rows.limit(0), photos)) == {}
+
+
+def _folders(tmp_path):
+    return sorted(p.name for p in (tmp_path / "log" / "runs").iterdir())
+
+
+def test_orphans_are_removed_and_commits_not_reread(spark, tmp_path, monkeypatch):
+    log = CommitLog(spark, str(tmp_path / "log"))
+    rows = spark.range(10).withColumnRenamed("id", "seq")
+
+    def broken(window, last, write):
+        write("out", window)
+        raise RuntimeError("executor lost")
+
+    for _ in range(2):
+        with pytest.raises(RuntimeError):
+            run_increment(log, rows, "seq", broken)
+    assert len(_folders(tmp_path)) == 2
+    kept = run_increment(log, rows, "seq", lambda window, last, write: write("out", window) and None)
+    assert _folders(tmp_path) == [kept["run"]]
+    read = []
+    monkeypatch.setattr(CommitLog, "read", lambda self, n, real=CommitLog.read: read.append(n) or real(self, n))
+    for _ in range(4):
+        run_increment(log, rows, "seq", lambda window, last, write: write("out", window) and None)
+    assert read == [0, 1, 2, 3]
+
+
+def test_state_is_read_and_written_by_touched_buckets(spark, tmp_path):
+    log = CommitLog(spark, str(tmp_path / "log"))
+    photos = spark.createDataFrame([], _PHOTO)
+    rows = [(i, f"p{i}", 1, 1.0, i) for i in range(1, 101)]
+    got = _cases(changed_files(log, _entries(spark, rows), photos, rows_per_bucket=10))
+    first = log.last()["state"]
+    assert len(got) == 100 and first["buckets"] == 10 and first["rows"] == 100
+    rows += [(101, "p7", 2, 1.0, 0), (102, "q", 1, 1.0, 1)]
+    assert set(_cases(changed_files(log, _entries(spark, rows), photos, rows_per_bucket=10))) == {"p7", "q"}
+    second = log.last()["state"]
+    changed = [b for mine in list(second["runs"].values())[1:] for b in mine]
+    assert second["rows"] == 101 and 1 <= len(changed) <= 2 and sorted(b for mine in second["runs"].values() for b in mine) == list(range(10))
+    # outgrown: all buckets anew, nothing lost
+    rows += [(i, f"r{i}", 1, 1.0, i) for i in range(200, 600)]
+    assert len(_cases(changed_files(log, _entries(spark, rows), photos, rows_per_bucket=10))) == 400
+    third = log.last()["state"]
+    assert third["buckets"] == 51 and third["rows"] == 501 and len(third["runs"]) == 1
