@@ -9,15 +9,20 @@ threshold; nothing is sorted, and a larger budget always takes a superset.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.llm.tokenizer import TOKENIZER, count_tokens
+from lumenlake.operators.joins import skew_join
 from lumenlake.shared import materialize
 
 #: Hash bits by level: 5 x 12 bits, so at most 4,096 buckets a source at once.
 _LEVEL_BITS, _LEVELS = 12, 5
 _HASH_BITS = _LEVEL_BITS * _LEVELS
+#: Tables with a row per source are broadcast up to so many sources.
+_FEW = 100_000
 
 
 def _bucket(level: int) -> Column:
@@ -31,9 +36,9 @@ def sized_texts(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER)
     Equal texts of a source are one text, kept under the smallest doc_id, so that its uses
     can be counted. Null, empty and blank texts, and rows without doc_id, are no texts.
     """
-    known = targets.filter("source is not null").select("source").distinct()
+    known = materialize(targets.filter("source is not null").select("source").distinct(), "sources")
     rows = documents.filter("doc_id is not null and source is not null and text is not null and length(trim(both ' \t\n\r' from text)) > 0")
-    rows = rows.join(F.broadcast(known), "source", "left_semi") if known.limit(100_001).count() <= 100_000 else rows.join(known, "source", "left_semi")
+    rows = rows.join(F.broadcast(known), "source", "left_semi") if known.count() <= _FEW else rows.join(known, "source", "left_semi")
     sized = count_tokens(rows.select("source", "doc_id", F.sha2("text", 256).alias("_key"), "text"), path=path)
     one = sized.groupBy("source", "_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n_tokens").alias("n_tokens"))
     h = F.shiftrightunsigned(F.xxhash64("_key", "source"), 64 - _HASH_BITS)
@@ -70,25 +75,37 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, path
     Result: the chosen texts ``doc_id, source, n_tokens, uses`` (uses up to the source's
     max_repeats) and the report ``source, target_share, max_repeats, available_tokens, texts,
     budget_tokens, chosen_tokens, chosen_texts, most_uses, actual_share, shortfall_tokens``, a row per
-    source of ``targets``. A source stays below its budget by less than its text at the threshold.
+    source of ``targets``. Each source ends as near to its budget as whole texts in the order of their hash allow: off by at most
+    half the text at the threshold (``shortfall_tokens`` is negative where that text was taken).
     """
     texts = sized_texts(documents, targets, path)
     plan = materialize(budgets(texts, targets, total), "budgets")
+    few = plan.count() <= _FEW
+    with_source = lambda rows, table: rows.join(F.broadcast(table), "source") if few else skew_join(rows, table, ["source"], rows.count())
     whole = F.when(F.col("available") > 0, F.floor(F.col("budget") / F.col("available"))).otherwise(0).cast("long")
-    state = plan.select("source", whole.alias("uses"), (F.col("budget") - whole * F.col("available")).alias("rest"), F.lit(0).cast("long").alias("prefix"))
-    below = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    opened = plan.select("source", (F.col("budget") - whole * F.col("available")).alias("rest"), F.lit(0).cast("long").alias("prefix"))
+    below = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)  # at most 4,096 buckets
+    closed = []
     for level in range(1, _LEVELS + 1):
         # Only texts in the bucket that the budget ends in; at first that is the whole source.
-        inside = texts.join(F.broadcast(state), "source").filter(_bucket(level - 1) == F.col("prefix")) if level > 1 else texts.join(F.broadcast(state), "source")
-        sums = inside.groupBy("source", "uses", "rest", _bucket(level).alias("bucket")).agg(F.sum("n_tokens").alias("n"))
+        inside = with_source(texts, opened)
+        if level > 1:
+            inside = inside.filter(_bucket(level - 1) == F.col("prefix"))
+        sums = inside.groupBy("source", "rest", _bucket(level).alias("bucket")).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("texts"), F.max("h").alias("h"))
         run = sums.withColumn("upto", F.sum("n").over(below))
         # the first bucket that doesn't fit whole; its predecessors do
-        over = run.filter("upto > rest").groupBy("source", "uses").agg(F.min(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("n")).alias("left"))).alias("x"))
-        state = materialize(over.select("source", "uses", F.col("x.left").alias("rest"), F.col("x.bucket").alias("prefix")), "thresholds")
-    limits = plan.select("source", "max_repeats", whole.alias("base")).join(state.select("source", F.col("prefix").alias("threshold")), "source", "left")
+        over = run.filter("upto > rest").groupBy("source").agg(F.min(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("n")).alias("left"), "n", "texts", "h")).alias("x"))
+        ends = materialize(over.select("source", "x.*"), "thresholds")
+        # A single text is taken if that lands nearer to the budget; so is the last level, where texts share a hash.
+        alone = (F.col("texts") == 1) | F.lit(level == _LEVELS)
+        closed.append(ends.filter(alone).select("source", F.when(F.col("n") < 2 * F.col("left"), F.col("h") + 1).otherwise(F.col("h")).alias("threshold")))
+        opened = ends.filter(~alone).select("source", F.col("left").alias("rest"), F.col("bucket").alias("prefix"))
+        if opened.isEmpty():
+            break
+    limits = plan.select("source", "max_repeats", whole.alias("base")).join(functools.reduce(DataFrame.unionByName, closed), "source", "left")
     # A source without threshold fits whole times only: nothing is left to give.
     extra = F.when(F.col("threshold").isNotNull() & (F.col("h") < F.col("threshold")), 1).otherwise(0)
-    chosen = texts.join(F.broadcast(limits), "source").withColumn("uses", (F.col("base") + extra).cast("long")).filter("uses > 0")
+    chosen = with_source(texts, limits).withColumn("uses", (F.col("base") + extra).cast("long")).filter("uses > 0")
     chosen = chosen.select("doc_id", "source", "n_tokens", "uses")
     got = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("chosen_tokens"), F.count("*").alias("chosen_texts"), F.max("uses").alias("most_uses"))
     every = Window.partitionBy()

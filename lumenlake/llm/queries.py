@@ -15,6 +15,8 @@ from lumenlake.llm.rank_merge import median_rank
 from lumenlake.llm.tokenizer import decode_ids, encode_texts
 from lumenlake.llm.topn import top_n_per_group
 from lumenlake.llm.truncation import score_truncation, truncation_rates
+from lumenlake.operators.joins import skew_join
+from lumenlake.shared import materialize
 
 SCORES = ["sharpness_score", "exposure_score", "color_score", "resolution_score"]
 
@@ -43,8 +45,10 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs whose ends both exist, each kind for itself."""
     known = _read(spark, sf, "photos").select(F.lit("photo").alias("kind"), "id").unionByName(_read(spark, sf, "faces").select(F.lit("face").alias("kind"), "id"))
     pairs = _read(spark, sf, "match_pairs").filter("left_id != right_id").select("kind", F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b")).distinct()
-    for end in ("a", "b"):
-        pairs = pairs.join(known.withColumnRenamed("id", end), ["kind", end], "left_semi")
+    known, pairs = known.distinct(), materialize(pairs, "pairs")
+    total = pairs.count()
+    for end in ("a", "b"):  # one record may have very many matches
+        pairs = skew_join(pairs, known.withColumnRenamed("id", end), ["kind", end], total)
     return connected_components(pairs, "a", "b", ["kind"]).select("kind", F.col("vertex").alias("record_id"), F.col("component").alias("group_id"))
 
 
@@ -93,6 +97,15 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mix(_read(spark, sf, "documents"), _read(spark, sf, "mix_targets"))[1]
 
 
+def p9_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Each source's texts, and how many rules its mix breaks: uses within repeats, share within half a text, no text twice."""
+    chosen, report = mix(_read(spark, sf, "documents"), _read(spark, sf, "mix_targets"))
+    got = chosen.groupBy("source").agg(F.max("n_tokens").alias("largest"), F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"), F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids"), F.max("uses").alias("uses"), F.min("uses").alias("least"))
+    rows = report.join(got, "source", "left").fillna(0, ["largest", "tokens", "rows", "ids", "uses"])
+    broken = [F.col("uses") > F.col("max_repeats"), F.col("rows") != F.col("ids"), F.col("tokens") != F.col("chosen_tokens"), F.abs("shortfall_tokens") > F.col("available_tokens"), F.coalesce(F.col("uses") - F.col("least") > 1, F.lit(False)), (F.col("texts") > 0) & (F.col("chosen_tokens") <= 0) & (F.col("budget_tokens") > F.col("available_tokens"))]
+    return rows.select("source", "target_share", "max_repeats", "texts", sum((x.cast("int") for x in broken[1:]), broken[0].cast("int")).alias("broken"))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return score_truncation(_read(spark, sf, "documents")).filter("score >= 0.5").select("doc_id")
 
@@ -102,7 +115,7 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_top, p4_found, p4_groups, p5_found, p6_found, p6_neighbours, p7_found, p7_order, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_rates)}
+    return {f.__name__: f for f in (p2_found, p2_top, p4_found, p4_groups, p5_found, p6_found, p6_neighbours, p7_found, p7_order, p8_ids, p8_round_trip, p9_mix, p9_shares, p9_checks, p10_found, p10_rates)}
 
 
 _NEWEST = """WITH newest AS (SELECT collection_id, photo_id, score FROM collection_photos WHERE collection_id IS NOT NULL AND photo_id IS NOT NULL
@@ -144,5 +157,7 @@ reach AS (SELECT kind, a AS record_id, a AS other FROM both_ways UNION SELECT r.
 SELECT kind, record_id, min(other) AS group_id FROM reach GROUP BY kind, record_id""",
         "p7_found": f"""{_RANKS} SELECT min(CASE WHEN mean_rank = 1 THEN photo_id END) AS photo_id FROM placed GROUP BY folder HAVING count(*) >= 5 AND count(*) FILTER (WHERE mean_rank = 1) = 1""",
         "p7_order": f"{_RANKS} SELECT folder, photo_id, median_rank, mean_rank, position FROM placed",
+        "p9_checks": """SELECT t.source, t.target_share, t.max_repeats, count(DISTINCT d.text) AS texts, 0 AS broken FROM mix_targets t
+LEFT JOIN documents d ON d.source = t.source AND d.doc_id IS NOT NULL AND length(trim(d.text, chr(32) || chr(9) || chr(10) || chr(13))) > 0 GROUP BY t.source, t.target_share, t.max_repeats""",
         "p8_round_trip": "SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents",
     }

@@ -85,7 +85,7 @@ def test_mix_reaches_shares_within_repeats(spark):
     assert len({c.doc_id for c in chosen}) == len(chosen) and all(1 <= c.uses <= {"big": 1, "mid": 2, "tiny": 4}[c.source] for c in chosen)
     for source, share in (("big", 0.6 / 0.98), ("mid", 0.3 / 0.98), ("tiny", 0.08 / 0.98)):
         r = report[source]
-        assert abs(r.actual_share - share) < 0.03 and 0 <= r.shortfall_tokens < 45
+        assert abs(r.actual_share - share) < 0.03 and abs(r.shortfall_tokens) <= 23
         assert r.chosen_tokens == sum(c.n_tokens * c.uses for c in chosen if c.source == source)
     assert report["absent"].chosen_tokens == 0 and report["tiny"].most_uses == 4
     # a smaller budget takes a subset
