@@ -1,7 +1,8 @@
 """Curation: groups of photos that are suggested as collections, and their ranking.
 
 A builder returns members ``key, kind, title, prefix, id, quality, capture_at, latitude,
-longitude`` (a row per photo and collection); ``collections_of`` ranks and sums them up.
+longitude, description`` (a row per photo and collection); ``collections_of`` ranks and sums them up,
+``suggestions`` brings them into the form that a rebuild takes. Titles and descriptions are fixed values.
 Scan order is the order of ids; ties follow it.
 """
 
@@ -39,9 +40,14 @@ def eligible(photos: DataFrame) -> DataFrame:
     )
 
 
-def members(rows: DataFrame, key: Column, kind: Column | str, title: Column | str, prefix: str) -> DataFrame:
-    kind, title = (F.lit(x) if isinstance(x, str) else x for x in (kind, title))
-    return rows.select(key.alias("key"), kind.alias("kind"), title.alias("title"), F.lit(prefix).alias("prefix"), *MEMBER[4:])
+def members(rows: DataFrame, key: Column, kind: Column | str, title: Column | str, prefix: str, description: Column | str) -> DataFrame:
+    kind, title, description = (F.lit(x) if isinstance(x, str) else x for x in (kind, title, description))
+    return rows.select(key.alias("key"), kind.alias("kind"), title.alias("title"), F.lit(prefix).alias("prefix"), *MEMBER[4:], description.alias("description"))
+
+
+def _text(*parts: Column | str) -> Column:
+    """Columns and literal text (what isn't a column) in one string."""
+    return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
 def collections_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -50,7 +56,7 @@ def collections_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     Photos are ranked by quality, then higher id; the score is 0.8 times the mean quality of the best
     ten plus up to 0.2 for the size; the cover is the first. Duplicates keep the order of ``position``
     and have a fixed score; their cover is the first best. Returns the collections ``key, kind, title,
-    photos, score, starts_at, ends_at, latitude, longitude, cover_photo_id`` and links
+    photos, score, starts_at, ends_at, latitude, longitude, cover_photo_id, description`` and links
     ``key, photo_id, rank, score, prefix``.
     """
     order = [F.asc("position")] * ("position" in rows.columns) + [F.desc("quality"), F.desc("id")]
@@ -64,12 +70,25 @@ def collections_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce(fixed, F.least(F.lit(1.0), F.avg(F.when(F.col("rank") <= 10, F.col("quality"))) * 0.8 + F.least(n, F.lit(30)) / 150)).alias("score"),
         F.min("capture_at").alias("starts_at"), F.max("capture_at").alias("ends_at"),
         F.avg(F.when(located, F.col("latitude"))).alias("latitude"), F.avg(F.when(located, F.col("longitude"))).alias("longitude"),
-        F.when(fixed.isNotNull(), best).otherwise(F.max(F.when(F.col("rank") == 1, F.col("id")))).alias("cover_photo_id"),
+        F.when(fixed.isNotNull(), best).otherwise(F.max(F.when(F.col("rank") == 1, F.col("id")))).alias("cover_photo_id"), F.min("description").alias("description"),
     )
     links = ranked.select("key", F.col("id").alias("photo_id"), "rank", F.col("quality").alias("score"), "prefix")
     return collections, links
 
 
+def suggestions(rows: DataFrame, photos: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members as ``persist.rebuild`` takes them: collections and links with reasons.
+
+    A link's reason is its prefix and up to three traits of the photo; duplicates have only the prefix.
+    """
+    collections, links = collections_of(rows)
+    new = collections.select(F.col("key").alias("collection_key"), "kind", "title", "description", "score", "cover_photo_id", "starts_at", "ends_at")
+    traits = photos.select(F.col("id").alias("photo_id"), S.reason().alias("_traits"))
+    reason = F.when(F.col("key").startswith("duplicates:"), F.col("prefix")).otherwise(F.concat_ws(": ", F.nullif("prefix", F.lit("")), "_traits"))
+    linked = links.join(traits, "photo_id").select(F.col("key").alias("collection_key"), "photo_id", F.col("rank").cast("int").alias("rank_no"), "score", reason.alias("reason"))
+    return new, linked
+
+
 def dominant_place(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     """``group, place``: the most frequent place of each group, of equals the one seen first in ``order``."""
     counted = rows.filter("place is not null").groupBy(group, "place").agg((-F.count("*")).alias("_n"), F.min(F.struct(*order)).alias("_first"))
@@ -119,11 +138,12 @@ def event_members(photos: DataFrame, settings: Settings = Settings()) -> DataFra
     rows = materialize(split_events(photos, settings), "events")
     groups = rows.groupBy("event").agg(
         F.count("*").alias("n"), F.max("quality").alias("q"), F.min("capture_at").alias("s"), F.max("capture_at").alias("e"), F.min_by("id", F.struct("t_us", "id")).alias("first"),
+        F.bool_or(F.col("latitude").isNotNull()).alias("located"),
     )
     best = groups.filter("n >= 4").orderBy(F.desc("n"), F.desc("q"), "event").limit(250)
     best = best.join(dominant_place(_chosen(rows, "event", best.select("event")), "event", ["t_us", "id"]), "event", "left")
     title = F.concat(F.coalesce("_place", F.lit("Notable day")), F.lit(" — "), S.time_label("s", "e"))
-    return members(_chosen(rows, "event", best.withColumnRenamed("place", "_place")), F.concat(F.lit("event:"), "first"), "event", title, "event pick")
+    return members(_chosen(rows, "event", best.withColumnRenamed("place", "_place")), F.concat(F.lit("event:"), "first"), "event", title, "event pick", _text(F.col("n"), " photos grouped by capture time", F.when(F.col("located"), " and location.").otherwise(".")))
 
 
 def burst_members(photos: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -131,7 +151,7 @@ def burst_members(photos: DataFrame, settings: Settings = Settings()) -> DataFra
     rows = split_bursts(photos, settings)
     best = rows.groupBy("burst").agg(F.max("size").alias("n"), F.min("capture_at").alias("s"), F.min_by("id", F.struct("t_us", "id")).alias("first")).orderBy(F.desc("n"), "burst").limit(100)
     title = F.concat(F.lit("Series of "), "n", F.lit(" — "), F.date_format("s", "MMM d, yyyy HH:mm"))
-    return members(_chosen(rows, "burst", best), F.concat(F.lit("series:"), "first"), "series", title, "series frame")
+    return members(_chosen(rows, "burst", best), F.concat(F.lit("series:"), "first"), "series", title, "series frame", "Photos captured seconds apart. Highest-quality and most distinct frames are ranked first.")
 
 
 def burst_covers(photos: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -144,10 +164,10 @@ def burst_covers(photos: DataFrame, settings: Settings = Settings()) -> DataFram
 def recurring_members(photos: DataFrame) -> DataFrame:
     """The 40 largest calendar dates with eight photos in two years or more (then seen first)."""
     rows = photos.filter("capture_at is not null").withColumn("md", F.date_format("capture_at", "MM-dd"))
-    best = rows.groupBy("md").agg(F.count("*").alias("n"), F.count_distinct(F.year("capture_at")).alias("years"), F.min("id").alias("seen"), F.min("capture_at").alias("s")).filter("n >= 8 and years >= 2")
+    best = rows.groupBy("md").agg(F.count("*").alias("n"), F.count_distinct(F.year("capture_at")).alias("years"), F.min("id").alias("seen"), F.min("capture_at").alias("s"), F.max("capture_at").alias("e")).filter("n >= 8 and years >= 2")
     best = best.orderBy(F.desc("n"), "seen").limit(40)
     title = F.concat(F.lit("Recurring date — "), F.date_format("s", "MMMM d"))
-    return members(_chosen(rows, "md", best), F.concat(F.lit("recurring:"), "md"), "notable-date", title, "recurring memory")
+    return members(_chosen(rows, "md", best), F.concat(F.lit("recurring:"), "md"), "notable-date", title, "recurring memory", _text("Photos on this calendar date across ", F.col("years"), " years (", F.year("s"), "–", F.year("e"), "). This may reveal an anniversary or tradition."))
 
 
 def holiday_members(photos: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -157,7 +177,7 @@ def holiday_members(photos: DataFrame, calendar: DataFrame) -> DataFrame:
     """
     rows = photos.withColumn("day", F.to_date("capture_at")).join(F.broadcast(calendar.dropDuplicates(["day"])), "day")
     best = rows.groupBy("name").agg(F.count("*").alias("n")).filter("n >= 3").select("name")
-    return members(rows.join(best, "name"), F.concat(F.lit("holiday:"), S.key_digest("name", 10)), "notable-date", F.col("name"), "holiday memory")
+    return members(rows.join(best, "name"), F.concat(F.lit("holiday:"), S.key_digest("name", 10)), "notable-date", F.col("name"), "holiday memory", _text("Photos captured on ", F.col("name"), ", grouped across the library."))
 
 
 def notable_day_members(photos: DataFrame) -> DataFrame:
@@ -165,11 +185,11 @@ def notable_day_members(photos: DataFrame) -> DataFrame:
     rows = photos.filter("capture_at is not null").withColumn("day", F.to_date("capture_at"))
     days = rows.groupBy("day").agg(F.count("*").alias("n"), F.min("id").alias("seen")).filter("n >= 6")
     order = Window.partitionBy(F.year("day")).orderBy(F.desc("n"), "seen")  # at most 366 rows
-    best = days.withColumn("k", F.row_number().over(order)).filter("k <= 8").select("day")
+    best = days.withColumn("k", F.row_number().over(order)).filter("k <= 8").select("day", F.col("n").alias("day_photos"))
     chosen = materialize(rows.join(best, "day"), "days")
     named = chosen.join(dominant_place(chosen, "day", ["id"]).withColumnRenamed("place", "_place"), "day", "left")
     title = F.concat(F.coalesce(F.concat(F.lit("Big day in "), "_place"), F.lit("A day worth remembering")), F.lit(" — "), F.date_format("day", _DATE))
-    return members(named, F.concat(F.lit("notable-day:"), F.col("day").cast("string")), "notable-date", title, "day highlight")
+    return members(named, F.concat(F.lit("notable-day:"), F.col("day").cast("string")), "notable-date", title, "day highlight", _text("One of ", F.year("day"), "'s most photographed days, with ", F.col("day_photos"), " images."))
 
 
 def folder_members(photos: DataFrame) -> DataFrame:
@@ -178,7 +198,7 @@ def folder_members(photos: DataFrame) -> DataFrame:
     name = F.lower(F.element_at(F.split("folder", "/"), -1))
     best = rows.groupBy("folder").agg(F.count("*").alias("n"), F.min("id").alias("seen")).filter(F.col("n").between(5, 1000) & ~name.isin(GENERIC_FOLDERS))
     best = best.orderBy(F.desc("n"), "seen").limit(80)
-    return members(_chosen(rows, "folder", best), F.concat(F.lit("folder:"), S.key_digest("folder")), "folder", S.folder_title("folder"), "folder highlight")
+    return members(_chosen(rows, "folder", best), F.concat(F.lit("folder:"), S.key_digest("folder")), "folder", S.folder_title("folder"), "folder highlight", _text(F.col("n"), " analyzed photos already grouped in source folder ", F.col("folder"), ". The folder is treated as a useful human-authored album clue."))
 
 
 # -- people ----------------------------------------------------------------------------
@@ -196,7 +216,7 @@ def people_members(photos: DataFrame, clusters: DataFrame, limit: int = 100) ->
     best = groups.join(every, "cluster_id").orderBy(F.desc("all"), "cluster_id").limit(limit)
     short = (F.date_diff(F.to_date("e"), F.to_date("s")) <= 14) & (F.col("n") <= 40)
     title = F.when(short, F.concat(F.lit("Possible visitor — "), F.date_format("s", "MMM yyyy"))).otherwise(F.concat(F.lit("Person "), F.col("cluster_id").cast("string")))
-    return members(_chosen(rows, "cluster_id", best), F.concat(F.lit("person:"), "cluster_id"), F.when(short, "visitor").otherwise("people"), title, "face match")
+    return members(_chosen(rows, "cluster_id", best), F.concat(F.lit("person:"), "cluster_id"), F.when(short, "visitor").otherwise("people"), title, "face match", F.when(short, "This face appears only in a short period, suggesting a visitor or someone newly met.").otherwise(_text("A locally clustered face appearing in ", F.col("n"), " photos. Rename during review when person labels are added.")))
 
 
 def together_members(photos: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -210,11 +230,11 @@ def together_members(photos: DataFrame, clusters: DataFrame) -> DataFrame:
     pairs = materialize(by_photo.select("id", pair.alias("p")).select("id", "p.l", "p.r"), "together")
     best = pairs.groupBy("l", "r").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l", "r").limit(40).filter("n >= 3")
     rows = photos.join(pairs.join(F.broadcast(best.drop("n")), ["l", "r"]), "id")
-    spans = rows.groupBy("l", "r").agg(F.min("capture_at").alias("s"), F.max("capture_at").alias("e"))
+    spans = rows.groupBy("l", "r").agg(F.min("capture_at").alias("s"), F.max("capture_at").alias("e"), F.count("*").alias("n"))
     rows = rows.join(F.broadcast(spans), ["l", "r"])  # at most 40 rows
     short = F.coalesce(F.date_diff(F.to_date("e"), F.to_date("s")) <= 14, F.lit(False))
     title = F.when(short, F.concat(F.lit("Possible visit together — "), F.date_format("s", "MMM yyyy"))).otherwise(F.concat(F.lit("People "), "l", F.lit(" & "), "r", F.lit(" together")))
-    return members(rows, F.concat(F.lit("together:"), "l", F.lit(":"), "r"), F.when(short, "visitor").otherwise("people"), title, "people together")
+    return members(rows, F.concat(F.lit("together:"), "l", F.lit(":"), "r"), F.when(short, "visitor").otherwise("people"), title, "people together", F.when(short, _text("These two faces appear together in ", F.col("n"), " photos over a short period, suggesting a visit or shared occasion.")).otherwise(_text("Two locally recognized faces appear together in ", F.col("n"), " photos—a useful relationship, family, or shared-selfie thread.")))
 
 
 # -- duplicates ------------------------------------------------------------------------
@@ -293,109 +313,148 @@ def duplicate_members(photos: DataFrame) -> DataFrame:
     near = groups.join(numbered, "group_id").join(photos.select(F.col("id").alias("photo_id"), "quality"), "photo_id").select(F.col("photo_id").alias("id"), "quality", "n")
     near = global_positions(near, [], [F.col("n"), F.desc("quality"), F.col("id")], [], "position", "_tie").drop("_tie")
     prefix = {"exact": F.concat(F.lit("byte-identical duplicate group "), "n"), "near": F.concat(F.lit("visually similar group "), "n", F.lit("; best frame is ranked first"))}
+    groups = {"exact": exact.agg(F.max("n")).first()[0] or 0, "near": near.agg(F.max("n")).first()[0] or 0}
+    about = {"exact": f"{groups['exact']} byte-identical groups. Nothing is deleted; use this as a review list.", "near": f"{groups['near']} visually similar groups detected library-wide with perceptual hashes."}
     nothing = [F.lit(None).cast(photos.schema[c].dataType).alias(c) for c in MEMBER[6:]]
-    parts = [rows.select(F.lit(f"duplicates:{x}").alias("key"), F.lit("duplicates").alias("kind"), F.lit(f"{x.title()} duplicates").alias("title"), prefix[x].alias("prefix"), "id", "quality", *nothing, "position") for x, rows in (("exact", exact), ("near", near))]
+    parts = [rows.select(F.lit(f"duplicates:{x}").alias("key"), F.lit("duplicates").alias("kind"), F.lit(f"{x.title()} duplicates").alias("title"), prefix[x].alias("prefix"), "id", "quality", *nothing, F.lit(about[x]).alias("description"), "position") for x, rows in (("exact", exact), ("near", near))]
     return parts[0].unionByName(parts[1])
 
 
 # -- highlights ------------------------------------------------------------------------
 
 
-def diverse_highlights(photos: DataFrame, limit: int, chunk: int = 2000) -> list[dict]:
-    """Greedy choice of up to ``limit`` photos by quality, then higher id.
+class _Choice:
+    """The greedy choice of one collection so far."""
 
-    A photo is passed over if its file hash was chosen, its day (undated photos share one)
-    has five, or one of the last 40 chosen was taken within ten minutes and differs in at
-    most five bits. Rounds fetch the next ``chunk`` rows after the last one looked at, leaving
-    out full days and chosen hashes, until the choice is complete or no row is left; the driver
-    holds a chunk and the choice, whatever the size of the table.
-    """
-    chosen: list[dict] = []
-    hashes: set[str] = set()
-    days: dict[str, int] = {}
-    last: tuple[float, int] | None = None
-    rows = photos.select("id", "quality", "file_hash", "perceptual_hash", "t_us", F.coalesce(F.to_date("capture_at").cast("string"), F.lit("")).alias("day"))
+    def __init__(self, limit: int):
+        self.limit, self.picked, self.last, self.over = limit, [], None, False
+        self.hashes: set[str] = set()
+        self.days: dict[str, int] = {}
 
-    def bits(h: str | None) -> int | None:
+    @staticmethod
+    def _bits(h: str | None) -> int | None:
         try:
             return int(h or "", 16)
         except ValueError:
             return None
 
-    while len(chosen) < limit:
-        left = rows
-        if last is not None:
-            left = left.filter((F.col("quality") < last[0]) | ((F.col("quality") == last[0]) & (F.col("id") < last[1])))
-        if full := [d for d, n in days.items() if n >= 5]:
-            left = left.filter(~F.col("day").isin(full))
-        if hashes:
-            left = left.filter(F.col("file_hash").isNull() | ~F.col("file_hash").isin(list(hashes)))
-        batch = left.orderBy(F.desc("quality"), F.desc("id")).limit(chunk).collect()
-        for r in batch:
-            last = (r.quality, r.id)
-            if (r.file_hash and r.file_hash in hashes) or days.get(r.day, 0) >= 5:
+    def look(self, rows: list, chunk: int) -> None:
+        for r in rows:
+            self.last = (r.quality, r.id)
+            if (r.file_hash and r.file_hash in self.hashes) or self.days.get(r.day, 0) >= 5:
                 continue
-            mine = bits(r.perceptual_hash)
-            close = any(
-                mine is not None and c["bits"] is not None and r.t_us is not None and c["t_us"] is not None and (mine ^ c["bits"]).bit_count() <= 5 and abs(r.t_us - c["t_us"]) <= 600_000_000
-                for c in chosen[-40:]
-            )
-            if close:
+            mine = self._bits(r.perceptual_hash)
+            if mine is not None and r.t_us is not None and any(c["bits"] is not None and c["t_us"] is not None and (mine ^ c["bits"]).bit_count() <= 5 and abs(r.t_us - c["t_us"]) <= 600_000_000 for c in self.picked[-40:]):
                 continue
-            chosen.append({"id": r.id, "bits": mine, "t_us": r.t_us})
+            self.picked.append({"id": r.id, "bits": mine, "t_us": r.t_us})
             if r.file_hash:
-                hashes.add(r.file_hash)
-            days[r.day] = days.get(r.day, 0) + 1
-            if len(chosen) >= limit:
+                self.hashes.add(r.file_hash)
+            self.days[r.day] = self.days.get(r.day, 0) + 1
+            if len(self.picked) >= self.limit:
                 break
-        if len(batch) < chunk:
-            break
-    return chosen
+        self.over = len(self.picked) >= self.limit or len(rows) < chunk
+
+
+def diverse_choices(rows: DataFrame, limits: dict[str, int], chunk: int = 500) -> dict[str, list[dict]]:
+    """Greedy choice of photos by quality, then higher id, for several collections at once.
+
+    ``rows`` has ``keys`` (the collections a photo may be in), ``id, quality, file_hash, perceptual_hash,
+    t_us, capture_at``; ``limits`` the size of each collection. A photo is passed over if its file hash was chosen, its
+    day (undated photos share one) has five, or one of the last 40 chosen was taken within ten minutes and
+    differs in at most five bits. A round takes the next ``chunk`` rows of all open collections in one job,
+    after the last one looked at and without full days and chosen hashes, until all choices are
+    complete or no row is left. The driver holds a chunk per collection and the choices, whatever the size of the table.
+    """
+    spark = rows.sparkSession
+    choices = {k: _Choice(n) for k, n in limits.items()}
+    day = F.coalesce(F.to_date("capture_at").cast("string"), F.lit(""))
+    long = rows.select(F.explode("keys").alias("key"), "id", "quality", "file_hash", "perceptual_hash", "t_us", day.alias("day"))
+    order = Window.partitionBy("key").orderBy(F.desc("quality"), F.desc("id"))
+    while still := {k: c for k, c in choices.items() if not c.over}:
+        # bounded by the collections and their limits
+        bounds = spark.createDataFrame([(k, *map(float, c.last[:1]), int(c.last[1])) if c.last else (k, None, None) for k, c in still.items()], "key string, _q double, _id long")
+        left = long.join(F.broadcast(bounds), "key").filter("_q is null or quality < _q or (quality = _q and id < _id)").drop("_q", "_id")
+        if full := [(k, d) for k, c in still.items() for d, n in c.days.items() if n >= 5]:
+            left = left.join(F.broadcast(spark.createDataFrame(full, "key string, day string")), ["key", "day"], "left_anti")
+        if seen := [(k, h) for k, c in still.items() for h in c.hashes]:
+            left = left.join(F.broadcast(spark.createDataFrame(seen, "key string, file_hash string")), ["key", "file_hash"], "left_anti")
+        batch: dict[str, list] = {k: [] for k in still}
+        for r in left.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= chunk).orderBy("key", "_n").collect():
+            batch[r.key].append(r)
+        for k, c in still.items():
+            c.look(batch[k], chunk)
+    return {k: c.picked for k, c in choices.items()}
+
+
+def diverse_highlights(photos: DataFrame, limit: int, chunk: int = 500) -> list[dict]:
+    """The choice of ``diverse_choices`` for one collection of all photos."""
+    return diverse_choices(photos.withColumn("keys", F.array(F.lit("all"))), {"all": limit}, chunk)["all"]
 
 
 def highlight_members(photos: DataFrame) -> DataFrame:
     """Diverse highlights of all photos, of each year, of people and of landscapes."""
     photos = materialize(photos, "photos")
     spark = photos.sparkSession
-    years = photos.filter("capture_at is not null").groupBy(F.year("capture_at").alias("y")).count().filter("count >= 5").orderBy(F.desc("y")).collect()
-    plan: list[tuple[str, str, str, str, DataFrame, int, int]] = [("highlights:all", "highlights", "Print-worthy highlights", "quality pick", photos, 150, 1)]
-    for r in years:  # one row a calendar year
-        plan.append((f"highlights:year:{r.y}", "highlights", f"Best of {r.y}", "year highlight", photos.filter(F.year("capture_at") == r.y), min(60, max(15, r["count"] // 8)), 1))
-    plan.append(("highlights:portraits", "people", "Favorite people photos", "portrait pick", photos.filter("face_count > 0"), 100, 5))
-    plan.append(("highlights:scenic", "highlights", "Scenery and establishing shots", "scenic pick", photos.filter("face_count = 0 and width > height"), 100, 5))
+    years = photos.filter("capture_at is not null").groupBy(F.year("capture_at").alias("y")).count().filter("count >= 5").collect()  # one row a calendar year
+    limits = {"highlights:all": 150} | {f"highlights:year:{r.y}": min(60, max(15, r["count"] // 8)) for r in years} | {"highlights:portraits": 100, "highlights:scenic": 100}
+    year = F.concat(F.lit("highlights:year:"), F.year("capture_at"))
+    keys = F.array(F.lit("highlights:all"), F.when(year.isin(list(limits)), year), F.when(F.col("face_count") > 0, "highlights:portraits"), F.when((F.col("face_count") == 0) & (F.col("width") > F.col("height")), "highlights:scenic"))
+    choices = diverse_choices(photos.withColumn("keys", F.filter(keys, lambda k: k.isNotNull())), limits)
+    texts = {
+        "highlights:all": ("highlights", "Print-worthy highlights", "quality pick", "A quality-ranked, de-duplicated selection with limits on near-identical frames and over-represented days."),
+        "highlights:portraits": ("people", "Favorite people photos", "portrait pick", "High-quality photos containing faces, with bursts and duplicates reduced."),
+        "highlights:scenic": ("highlights", "Scenery and establishing shots", "scenic pick", "Strong landscape-orientation photos without detected faces—useful for opening and transition pages."),
+    }
+    for r in years:
+        about = (
+            f"{len(choices[f'highlights:year:{r.y}'])} picks from {r['count']} analyzed photos captured in {r.y}. Selection favors sharpness, exposure, contrast, color and print resolution; "
+            "your star ratings contribute too. Exact duplicates and similar burst frames are reduced, with at most five picks per day. Displayed newest first; "
+            "quality badges retain the selection rank, not an aesthetic verdict."
+        )
+        texts[f"highlights:year:{r.y}"] = ("highlights", f"Best of {r.y}", "year highlight", about)
     found = []
-    for key, kind, title, prefix, rows, limit, least in plan:
-        picked = diverse_highlights(rows, limit)
-        if len(picked) >= least:
-            found += [(key, kind, title, prefix, p["id"]) for p in picked]
+    for key, picked in choices.items():
+        if len(picked) >= (5 if key in ("highlights:portraits", "highlights:scenic") else 1):
+            kind, title, prefix, about = texts[key]
+            found += [(key, kind, title, prefix, about, p["id"]) for p in picked]
     kinds = photos.schema["id"].dataType.simpleString()
-    few = spark.createDataFrame(found, f"key string, kind string, title string, prefix string, id {kinds}")
-    return photos.join(F.broadcast(few), "id").select(*MEMBER)
+    few = spark.createDataFrame(found, f"key string, kind string, title string, prefix string, description string, id {kinds}")
+    return photos.join(F.broadcast(few), "id").select(*MEMBER, "description")
+
+
+class BuilderFailure(RuntimeError):
+    """Builders of collections failed; ``failed`` has the error of each by name."""
 
+    def __init__(self, failed: dict[str, str]):
+        super().__init__("; ".join(f"{k}: {v}" for k, v in failed.items()))
+        self.failed = failed
 
-def all_members(photos: DataFrame, faces: DataFrame, settings: Settings = Settings(), calendar: DataFrame | None = None, trips: DataFrame | None = None, places: DataFrame | None = None) -> DataFrame:
-    """Members of all builders; ``faces`` has the cluster of each face. A builder that fails is left out and named in a warning."""
-    import warnings
 
-    builders: list[Callable[[], DataFrame]] = [
-        lambda: highlight_members(photos), lambda: event_members(photos, settings), lambda: burst_members(photos, settings), lambda: folder_members(photos),
-        lambda: recurring_members(photos), lambda: notable_day_members(photos), lambda: people_members(photos, faces), lambda: together_members(photos, faces),
-        lambda: duplicate_members(photos),
-    ]
+def all_members(
+    photos: DataFrame, faces: DataFrame, settings: Settings = Settings(), calendar: DataFrame | None = None, trips: Callable[[], DataFrame] | None = None, places: Callable[[], DataFrame] | None = None
+) -> tuple[DataFrame, dict[str, str]]:
+    """Members of all builders, and the errors of those that failed by name.
+
+    ``faces`` has the cluster of each face; ``trips`` and ``places`` are builders of the caller's. A builder that
+    fails costs the others nothing; who needs a complete result raises ``BuilderFailure`` if any did.
+    """
+    builders: dict[str, Callable[[], DataFrame]] = {
+        "highlights": lambda: highlight_members(photos), "events": lambda: event_members(photos, settings), "series": lambda: burst_members(photos, settings), "folders": lambda: folder_members(photos),
+        "recurring": lambda: recurring_members(photos), "days": lambda: notable_day_members(photos), "people": lambda: people_members(photos, faces), "together": lambda: together_members(photos, faces),
+        "duplicates": lambda: duplicate_members(photos),
+    }
     if calendar is not None:
-        builders.append(lambda: holiday_members(photos, calendar))
-    builders += [lambda d=d: d for d in (trips, places) if d is not None]
-    parts = []
-    for build in builders:
+        builders["holidays"] = lambda: holiday_members(photos, calendar)
+    builders |= {name: build for name, build in (("trips", trips), ("places", places)) if build is not None}
+    parts, failed = [], {}
+    for name, build in builders.items():
         try:
             parts.append(materialize(build(), "builder"))
         except Exception as e:  # one builder must not cost the others
-            warnings.warn(f"a collection builder failed: {e}", stacklevel=2)
+            failed[name] = f"{type(e).__name__}: {e}"
+    if not parts:
+        raise BuilderFailure(failed)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    return out
-
-
-
-
+    return out, failed

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lumenlake.config import Settings
 from lumenlake.functions import scalars as S
 from lumenlake.functions.geo import haversine_km
-from lumenlake.operators.curation import dominant_place, members
+from lumenlake.operators.curation import _text, dominant_place, members
 from lumenlake.operators.joins import skew_join
 from lumenlake.operators.ordering import global_positions
 from lumenlake.shared import materialize
@@ -108,21 +108,27 @@ def trip_members(photos: DataFrame, settings: Settings = Settings()) -> DataFram
     runs = rows.groupBy("i", "back").agg(F.count("*").alias("n"), F.min("capture_at").alias("s"), F.max("capture_at").alias("e"), F.min_by("id", F.struct("t_us", "id")).alias("first")).orderBy("i").collect()
     kept, cursor = [], 0
     for r in runs:
-        if r.i >= cursor and r.n >= max(12, 3 * ((r.e.date() - r.s.date()).days + 1)):
-            kept.append((r.i, r.s, r.e, r.first))
+        span = (r.e.date() - r.s.date()).days + 1
+        if r.i >= cursor and r.n >= max(12, 3 * span):
+            kept.append((r.i, r.s, r.e, r.first, r.n, span, days[r.back][0]))
             cursor = r.back
     ids = photos.schema["id"].dataType.simpleString()
-    best = spark.createDataFrame(kept, f"i int, s timestamp_ntz, e timestamp_ntz, first {ids}")
+    best = spark.createDataFrame(kept, f"i int, s timestamp_ntz, e timestamp_ntz, first {ids}, n long, span int, returned date")
     rows = rows.join(F.broadcast(best), "i")
     rows = rows.join(F.broadcast(dominant_place(rows, "i", ["t_us", "id"]).withColumnRenamed("place", "_place")), "i", "left")
     title = F.concat(F.coalesce(F.concat(F.lit("Trip to "), "_place"), F.lit("Away and back")), F.lit(" — "), S.time_label("s", "e"))
-    return members(rows, F.concat(F.lit("trip:"), "first"), "trip", title, "away-and-return evidence")
+    far = f"{max(settings.trip_min_distance_km, settings.trip_home_radius_km * 2):g}"
+    about = _text(
+        F.col("n"), " photos over ", F.col("span"), f" days, at least {far} km from a recurring location observed before departure and again after return on ", F.date_format("returned", "MMM d, yyyy"),
+        ". GPS-day evidence distinguishes this journey from a long stay or a move; nearby city names are approximate.",
+    )
+    return members(rows, F.concat(F.lit("trip:"), "first"), "trip", title, "away-and-return evidence", about)
 
 
-def place_members(photos: DataFrame, clusters: DataFrame, limit: int = 80) -> DataFrame:
+def place_members(photos: DataFrame, clusters: DataFrame, limit: int = 80, settings: Settings = Settings()) -> DataFrame:
     """The largest place clusters (``id, cluster_id``), then those seen first."""
     rows = materialize(photos.join(clusters, "id"), "placed")
     best = rows.groupBy("cluster_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cluster_id").limit(limit)
     chosen = rows.join(F.broadcast(best), "cluster_id")
     chosen = chosen.join(F.broadcast(dominant_place(chosen, "cluster_id", ["id"]).withColumnRenamed("place", "_place")), "cluster_id", "left")
-    return members(chosen, F.concat(F.lit("place:"), "cluster_id"), "place", F.coalesce("_place", F.lit("Mapped place")), "place highlight")
+    return members(chosen, F.concat(F.lit("place:"), "cluster_id"), "place", F.coalesce("_place", F.lit("Mapped place")), "place highlight", _text(F.col("n"), f" photos within roughly {settings.gps_cluster_km:g} km, using embedded GPS metadata."))

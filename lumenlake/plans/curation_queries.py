@@ -13,6 +13,7 @@ from lumenlake.operators import curation as C
 from lumenlake.operators import trips as R
 from lumenlake.operators.density import face_clusters as _face_clusters
 from lumenlake.operators.density import place_clusters as _place_clusters
+from lumenlake.operators.persist import rebuild
 from lumenlake.plans.library_queries import SQL_QUALITY, Tables, sql_haversine, sql_hex_distance, sql_label
 from lumenlake.functions import scalars as S
 
@@ -277,7 +278,54 @@ def _everything(t: Tables) -> DataFrame:
     photos = C.materialize(C.eligible(t.photos), "eligible")
     faces = t.faces.join(photos.select(F.col("id").alias("photo_id")), "photo_id", "left_semi")
     clusters = C.materialize(_face_clusters(faces), "face-clusters")
-    return C.all_members(photos, clusters, calendar=_calendar(photos.sparkSession), trips=R.trip_members(photos), places=R.place_members(photos, _place_clusters(photos)))
+    members, failed = C.all_members(photos, clusters, calendar=_calendar(photos.sparkSession), trips=lambda: R.trip_members(photos), places=lambda: R.place_members(photos, _place_clusters(photos)))
+    if failed:
+        raise C.BuilderFailure(failed)
+    return members
+
+
+_DUPLICATES = f"""{_E}, hashed AS (SELECT *, dense_rank() OVER (ORDER BY seen) AS n FROM (SELECT *, min(id) OVER (PARTITION BY file_hash) AS seen, count(*) OVER (PARTITION BY file_hash) AS copies FROM e WHERE file_hash <> '') WHERE copies > 1),
+exact AS (SELECT *, row_number() OVER (ORDER BY n, relative_path, id) AS rk FROM hashed)"""
+
+
+@query(
+    f"""WITH {_DUPLICATES} SELECT 'duplicates:exact' AS key, id AS photo_id, rk AS rank, round(quality, 6) AS score, 'byte-identical duplicate group ' || n AS reason,
+(SELECT max(n) FROM exact) || ' byte-identical groups. Nothing is deleted; use this as a review list.' AS description, (SELECT id FROM exact ORDER BY quality DESC, rk LIMIT 1) AS cover_photo_id FROM exact"""
+)
+def duplicate_collections(t: Tables) -> DataFrame:
+    """The links of the collection of exact duplicates, with what the collection says of itself."""
+    collections, links = C.collections_of(C.duplicate_members(C.eligible(t.photos)))
+    links = links.filter("key = 'duplicates:exact'").select("key", "photo_id", "rank", F.round("score", 6).alias("score"), F.col("prefix").alias("reason"))
+    return links.join(F.broadcast(collections.filter("key = 'duplicates:exact'").select("key", "description", "cover_photo_id")), "key")  # one row
+
+
+@query(
+    f"""WITH {_E}, {_DATED}, days AS (SELECT strftime(capture_at, '%m-%d') AS md, count(*) AS n, count(DISTINCT year(capture_at)) AS years, min(year(capture_at)) AS a, max(year(capture_at)) AS z, min(id) AS seen FROM dated GROUP BY 1),
+best AS (SELECT * FROM days WHERE n >= 8 AND years >= 2 ORDER BY n DESC, seen LIMIT 40),
+folder AS (SELECT *, nullif(regexp_extract(relative_path, '^(.*)/[^/]*$', 1), '') AS folder FROM e), counted AS (SELECT folder, count(*) AS n, min(id) AS seen FROM folder WHERE folder IS NOT NULL GROUP BY 1),
+album AS (SELECT * FROM counted WHERE n BETWEEN 5 AND 1000 AND lower(regexp_extract(folder, '[^/]*$')) NOT IN ('camera', 'dcim', 'images', 'photos', 'pictures', 'uploads') ORDER BY n DESC, seen LIMIT 80)
+SELECT 'recurring:' || md AS key, 'Photos on this calendar date across ' || years || ' years (' || a || '–' || z || '). This may reveal an anniversary or tradition.' AS description FROM best
+UNION ALL SELECT 'folder:' || substr(sha1(folder), 1, 16), n || ' analyzed photos already grouped in source folder ' || folder || '. The folder is treated as a useful human-authored album clue.' FROM album"""
+)
+def collection_descriptions(t: Tables) -> DataFrame:
+    photos = C.eligible(t.photos)
+    rows = C.recurring_members(photos).unionByName(C.folder_members(photos))
+    return C.suggestions(rows, t.photos)[0].select(F.col("collection_key").alias("key"), "description")
+
+
+def _rebuilt(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The whole chain: all builders, their suggestions, and the stored collections with their decisions."""
+    return rebuild(t.collections, t.collection_photos, *C.suggestions(_everything(t), t.photos), t.photos)
+
+
+@query()
+def curation_rebuilt_collections(t: Tables) -> DataFrame:
+    return _rebuilt(t)[0].select("id", "collection_key", "kind", "title", "description", "status", "cover_photo_id")
+
+
+@query()
+def curation_rebuilt_links(t: Tables) -> DataFrame:
+    return _rebuilt(t)[1]
 
 
 @query()
@@ -287,6 +335,5 @@ def curation_collections(t: Tables) -> DataFrame:
 
 @query()
 def curation_links(t: Tables) -> DataFrame:
-    links = C.collections_of(_everything(t))[1].withColumnRenamed("photo_id", "id")
-    traits = t.photos.select("id", S.reason().alias("traits"))
-    return links.join(traits, "id").select("key", F.col("id").alias("photo_id"), "rank", F.round("score", 6).alias("score"), F.when(F.col("key").startswith("duplicates:"), F.col("prefix")).otherwise(F.concat_ws(": ", "prefix", "traits")).alias("reason"))
+    links = C.suggestions(_everything(t), t.photos)[1]
+    return links.select(F.col("collection_key").alias("key"), "photo_id", F.col("rank_no").alias("rank"), F.round("score", 6).alias("score"), "reason")

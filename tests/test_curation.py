@@ -155,15 +155,34 @@ def test_face_clusters(spark):
     assert got == {**dict.fromkeys(range(5), 0), **dict.fromkeys(range(10, 15), 10)}
 
 
-def test_a_failing_builder_costs_only_itself(spark, monkeypatch):
+def test_a_failing_builder_costs_only_itself_and_is_named(spark, monkeypatch):
     monkeypatch.setattr(C, "burst_members", lambda *a: 1 / 0)
     photos = _photos(spark, [_photo(k, _T0 + timedelta(seconds=10 * k)) for k in range(6)])
     faces = spark.createDataFrame([], "photo_id long, cluster_id long")
-    import pytest
-
-    with pytest.warns(UserWarning, match="builder failed"):
-        kinds = {r.kind for r in C.all_members(photos, faces, Settings()).select("kind").distinct().collect()}
-    assert "event" in kinds and "series" not in kinds and "folder" in kinds
+    rows, failed = C.all_members(photos, faces, Settings())
+    kinds = {r.kind for r in rows.select("kind").distinct().collect()}
+    assert "event" in kinds and "series" not in kinds and "folder" in kinds and list(failed) == ["series"] and "ZeroDivisionError" in failed["series"]
+
+
+def test_suggestions_are_what_a_rebuild_takes(spark):
+    """Builders, suggestions, rebuild: decisions survive, new collections come, stale ones go."""
+    from lumenlake.operators.persist import RETAINED, rebuild
+
+    photos = spark.createDataFrame([_photo(k, _T0 + timedelta(minutes=10 * k), relative_path=f"summer/{k}.jpg") for k in range(1, 9)], _SCHEMA)
+    rows = C.event_members(C.eligible(photos)).unionByName(C.folder_members(C.eligible(photos)))
+    new, links = C.suggestions(rows, photos)
+    stored = spark.createDataFrame(
+        [(5, "event:1", "event", "Mine", "old", 0.1, "reviewed", False, 1, 1, None, None, None, None), (6, "event:77", "event", "Gone", "old", 0.1, "unreviewed", True, 1, 1, None, None, None, None)],
+        "id long, collection_key string, kind string, title string, description string, score double, status string, automatic boolean, algorithm_version int, cover_photo_id long, starts_at timestamp_ntz, ends_at timestamp_ntz, created_at timestamp, updated_at timestamp",
+    )
+    old_links = spark.createDataFrame([(1, 5, 2, 9, 0.1, "old", "keep", None), (2, 5, 999, 1, 0.1, "old", "reject", None), (3, 6, 3, 1, 0.1, "old", "pending", None)], "id long, collection_id long, photo_id long, rank_no int, score double, reason string, decision string, note string")
+    collections, out = rebuild(stored, old_links, new, links, photos)
+    got = {r.collection_key: r for r in collections.collect()}
+    assert got["event:1"].title == "Mine" and got["event:1"].description == "8 photos grouped by capture time." and "event:77" not in got
+    folder = next(r for k, r in got.items() if k.startswith("folder:"))
+    assert folder.description == "8 analyzed photos already grouped in source folder summer. The folder is treated as a useful human-authored album clue." and folder.id == 7
+    mine = {r.photo_id: r for r in out.collect() if r.collection_id == 5}
+    assert mine[2].decision == "keep" and mine[2].reason.startswith("event pick: ") and mine[999].reason == RETAINED and len(mine) == 9
 
 
 def test_everything_has_duplicates_holidays_and_newly_clustered_people(spark):
