@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import io
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -164,3 +164,49 @@ def derivatives(files: DataFrame, settings: Settings = Settings(), decoder=decod
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("kind", pa.string()), ("content", pa.binary())]))
 
     return files.select("path", "content").mapInArrow(run, "path string, kind string, content binary")
+
+
+FACES = "path string, face int, x double, y double, width double, height double, confidence double, embedding array<float>, model string, error string"
+
+
+def detect_faces(files: DataFrame, models: list[tuple[str, Callable[[], Callable]]], settings: Settings = Settings(), decoder=decode) -> DataFrame:
+    """Faces of ``binaryFile`` rows (``path, content``), found by the first of ``models`` that can be loaded.
+
+    A model is a name and a function that loads it, once in each worker; what that returns takes an image and gives
+    dicts with ``x, y, width, height`` (shares of the image), ``confidence`` and ``embedding`` (null if the model has none). If a
+    model fails on an image, the next is tried; a file that none can do has one row with its error. No model is part of this repository.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL(FACES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loaded: dict[str, Callable | Exception] = {}
+
+        def find(path: str, content: bytes) -> list[dict]:
+            image, error = decoder(content, settings)[0], "no model"
+            for name, load in models:
+                if name not in loaded:
+                    try:
+                        loaded[name] = load()
+                    except Exception as e:
+                        loaded[name] = e
+                try:
+                    if isinstance(loaded[name], Exception):
+                        raise loaded[name]
+                    return [{"path": path, "face": i, "model": name} | f for i, f in enumerate(loaded[name](image))]
+                except Exception as e:
+                    error = f"{name}: {type(e).__name__}: {e}"
+            return [{"path": path, "error": error[:200]}]
+
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                try:
+                    rows += find(path, content)
+                except Exception as e:  # one bad file must not stop a batch
+                    rows.append({"path": path, "error": f"{type(e).__name__}: {e}"[:200]})
+            yield pa.RecordBatch.from_pylist(rows, to_arrow_schema(schema))
+
+    return files.select("path", "content").mapInArrow(run, schema)

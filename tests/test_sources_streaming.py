@@ -47,6 +47,91 @@ def test_hashes_and_copies(spark, tree, tmp_path):
             S.safe_relative_path(bad)
 
 
+class _Share:
+    """Stands in for the client library; the first ``fails`` calls break off."""
+
+    def __init__(self, root, fails=0):
+        self.root, self.fails, self.log = str(root), fails, []
+
+    def _local(self, path):
+        assert path.startswith("\\\\nas\\photos")
+        return self.root + path[len("\\\\nas\\photos") :].replace("\\", "/")
+
+    def _maybe(self, what):
+        self.log.append(what)
+        if self.fails:
+            self.fails -= 1
+            raise ConnectionResetError(what)
+
+    def register_session(self, server, username=None, password=None):
+        self.log.append(f"session {server} {username}")
+
+    def reset_connection_cache(self, fail_on_error):
+        self.log.append("reset")
+
+    def scandir(self, path):
+        self._maybe("scan")
+        return os.scandir(self._local(path))
+
+    def open_file(self, path, mode):
+        self._maybe("open")
+        return open(self._local(path), mode)
+
+
+def test_network_share_is_walked_with_retries(tree, tmp_path):
+    waits, client = [], _Share(tree, fails=3)
+    share = S.ShareTree("nas", "photos", "me", "secret", client=client, wait=waits.append)
+    rows = list(S._Walk(share, set(Settings().skipped), set(Settings().suffixes)).all(""))
+    assert {r[0] for r in rows} == {"a.JPG", "trip/b.png", "trip/deep/er/c.heic", "_hidden/.d.jpg"} and waits == [1, 2, 4]
+    # each new attempt has a new, authenticated connection
+    assert client.log[:5] == ["session nas me", "scan", "reset", "session nas me", "scan"] and S.probe(share) == "ok"
+    client.fails = 1
+    assert S.copy_and_hash(share, "trip/b.png", str(tmp_path / "b.png"), 100) == (hashlib.sha256(b"trip/b.png").hexdigest(), 10)
+    client.fails = 4
+    with pytest.raises(S.SourceError):
+        share.scan("")
+    client.log.clear()
+    with pytest.raises(S.TooLarge):
+        S.copy_and_hash(share, "trip/b.png", str(tmp_path / "c.png"), 5)
+    assert client.log.count("open") == 1 and sorted(os.listdir(tmp_path)) == ["b.png", "root"]
+    client.fails = 99
+    assert [r[-1] for r in S._Walk(share, set(), set()).all("")] == ["SourceError: can't list"]
+
+
+def test_source_options():
+    assert isinstance(S.tree_of({"root": "/x"}), S.LocalTree) and S.tree_of({"source": "SMB", "server": "a", "share": "b", "folder": "c/d"}).root == "\\\\a\\b\\c\\d"
+    for bad in ({}, {"source": "smb", "server": "a"}, {"source": "ftp", "root": "/"}):
+        with pytest.raises(ValueError):
+            S.tree_of(bad)
+
+
+def test_path_statistics(spark, tree):
+    assert tuple(S.path_statistics(spark, str(tree / "trip")).first()) == (3, len("trip/b.png") + len("trip/deep/er/c.heic") + len("trip/notes.txt"), True)
+    assert tuple(S.path_statistics(spark, str(tree / "none")).first()) == (0, 0, False)
+
+
+def test_faces_fall_back_to_the_next_model(spark):
+    def missing():
+        raise ImportError("no such model")
+
+    def load():
+        def find(image):
+            if image[0, 0, 0] == 9:
+                raise ValueError("odd image")
+            return [{"x": 0.1, "y": 0.2, "width": 0.3, "height": 0.4, "confidence": 0.9, "embedding": [1.0, 2.0]}] * int(image[0, 0, 0])
+
+        return find
+
+    def decoder(content, settings):
+        return np.full((2, 2, 3), content[0], dtype=np.uint8), 2, 2
+
+    files = spark.createDataFrame([("two", bytearray([2])), ("none", bytearray([0])), ("odd", bytearray([9])), ("broken", bytearray())], "path string, content binary")
+    rows = P.detect_faces(files, [("best", missing), ("plain", load)], decoder=decoder).collect()
+    assert [(r.face, r.model, r.embedding) for r in rows if r.path == "two"] == [(0, "plain", [1.0, 2.0]), (1, "plain", [1.0, 2.0])]
+    assert {r.path: r.error.split(":")[0] for r in rows if r.error} == {"odd": "plain", "broken": "IndexError"} and not [r for r in rows if r.path == "none"]
+    assert "no such model" in P.detect_faces(files.limit(1), [("best", missing)], decoder=decoder).first().error
+
+
 def test_manifest_file(spark, tmp_path):
     df = spark.createDataFrame([(1, "a,b", "")], "rank int, path string, note string")
     out = S.export_manifest(df, str(tmp_path / "m"))
