@@ -26,6 +26,7 @@ class Settings:
     trip_min_distance_km: float = 100.0
     trip_max_days: int = 30
     trip_context_days: int = 90
+    # Folders that are never photos, and the supported suffixes.
     skip_directories: tuple[str, ...] = ("@eaDir", "#recycle", ".snapshot", ".thumbnails")
     supported_extensions: tuple[str, ...] = (".jpg", ".jpeg", ".jpe", ".png", ".webp", ".heic", ".heif", ".tif", ".tiff", ".bmp", ".gif")
     analysis_version: int = 1

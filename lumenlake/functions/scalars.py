@@ -126,6 +126,7 @@ def in_range(value: Column | str, top: float) -> Column:
     return F.when(~F.isnan(v) & v.between(-top, top), v)
 
 
+#: Fixed value: the times that file names may hold.
 _NAMED_TIME = r"(?<!\d)((?:19|20)\d{2})[-_]?([01]\d)[-_]?([0-3]\d)[ T_-]?([0-2]\d)[-_.:]?([0-5]\d)[-_.:]?([0-5]\d)(?!\d)"
 
 
@@ -147,7 +148,8 @@ def capture_time(exif: list[Column], file_name: Column | str, mtime: Column | st
 
 
 def unit_interval(x: Column) -> Column:
-    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+    """Null for null and NaN."""
+    return F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def metric_scores(laplacian_variance: Column, midpoint: Column, clipped: Column, deviation: Column, colorfulness: Column, megapixels: Column) -> dict[str, Column]:

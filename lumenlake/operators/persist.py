@@ -9,6 +9,7 @@ from lumenlake.config import Settings
 from lumenlake.operators.ordering import global_positions
 from lumenlake.shared import materialize
 
+#: What links and collections say that are kept.
 RETAINED = "Retained from an earlier suggestion after manual review"
 ARCHIVED = "Archived automatic suggestion; kept because it contains review decisions."
 

@@ -8,12 +8,14 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenlake.config import Settings
 from lumenlake.functions import scalars as S
 from lumenlake.functions.geo import haversine_km
 from lumenlake.operators import browse as B
 from lumenlake.operators import ingest as I
 from lumenlake.operators import persist as K
 from lumenlake.operators.ordering import global_positions
+from lumenlake.sources.photos import hashed_contents, list_photos, path_statistics
 
 NOW = datetime(2025, 6, 1)
 _SQL_NOW = "TIMESTAMP '2025-06-01 00:00:00'"
@@ -25,10 +27,10 @@ class Tables:
     """The tables of a directory by name."""
 
     def __init__(self, spark: SparkSession, sf: str):
-        self._spark, self._sf = spark, sf
+        self.spark, self.folder = spark, sf
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._sf}/{name}.parquet")
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
 def query(sql: str | None = None):
@@ -159,22 +161,30 @@ def scalar_gps(t: Tables) -> DataFrame:
     return t.photos.select("id", F.round(dms("latitude", "S", "N"), 6).alias("latitude"), F.round(dms("longitude", "W", "E"), 6).alias("longitude"))
 
 
-@query("SELECT id, to_timestamp(floor(source_mtime)) AT TIME ZONE 'UTC' AS capture_at, 'mtime' AS capture_source FROM photos WHERE source_mtime IS NOT NULL AND NOT regexp_matches(file_name, '(19|20)\\d{2}')")
+_IN_NAME = "(?:^|[^0-9])((?:19|20)[0-9]{2})[-_]?([01][0-9])[-_]?([0-3][0-9])[ T_-]?([0-2][0-9])[-_.:]?([0-5][0-9])[-_.:]?([0-5][0-9])(?:[^0-9]|$)"
+_STEM = "regexp_replace(file_name, '(.)\\.[^.]*$', '\\1')"
+
+
+@query(
+    f"""WITH c AS (SELECT id, CASE WHEN capture_source = 'exif' THEN date_trunc('second', capture_at) END AS exif,
+TRY_CAST({" || ".join(f"regexp_extract({_STEM}, '{_IN_NAME}', {k}) || '{x}'" for k, x in zip(range(1, 7), ("-", "-", " ", ":", ":", ""), strict=True))} AS TIMESTAMP) AS named,
+to_timestamp(floor(source_mtime)) AT TIME ZONE 'UTC' AS file FROM photos)
+SELECT id, coalesce(exif, named, file) AS capture_at, CASE WHEN exif IS NOT NULL THEN 'exif' WHEN named IS NOT NULL THEN 'filename' WHEN file IS NOT NULL THEN 'mtime' END AS capture_source FROM c"""
+)
 def scalar_capture_time(t: Tables) -> DataFrame:
-    """Names without a year fall back to the file's time, here in whole seconds."""
-    rows = t.photos.filter("source_mtime is not null").filter(~F.col("file_name").rlike(r"(19|20)\d{2}"))
-    return rows.select("id", S.capture_time([], "file_name", F.floor("source_mtime")).alias("c")).select("id", "c.capture_at", "c.capture_source")
+    """All three branches; the EXIF text is written from the stored time, file times are taken in whole seconds."""
+    exif = F.when(F.col("capture_source") == "exif", F.date_format("capture_at", "yyyy:MM:dd HH:mm:ss"))
+    return t.photos.select("id", S.capture_time([exif], "file_name", F.floor("source_mtime")).alias("c")).select("id", "c.capture_at", "c.capture_source")
 
 
 @query(
     """WITH f AS (SELECT photo_id AS id, max(width * height) AS face FROM faces GROUP BY 1)
-SELECT p.id, round(greatest(0.0, least(1.0, sharpness_score * 0.30 + exposure_score * 0.24 + contrast_score * 0.14 + color_score * 0.12 + resolution_score * 0.20 + CASE WHEN face IS NOT NULL THEN least(0.08, 0.025 + 0.25 * face) ELSE 0 END)), 6) AS quality
-FROM photos p LEFT JOIN f ON f.id = p.id WHERE NOT isnan(sharpness_score + exposure_score + contrast_score + color_score + resolution_score)"""
+SELECT p.id, CASE WHEN NOT isnan(sharpness_score + exposure_score + contrast_score + color_score + resolution_score) THEN round(greatest(0.0, least(1.0, sharpness_score * 0.30 + exposure_score * 0.24 + contrast_score * 0.14 + color_score * 0.12 + resolution_score * 0.20 + CASE WHEN face IS NOT NULL THEN least(0.08, 0.025 + 0.25 * face) ELSE 0 END)), 6) END AS quality
+FROM photos p LEFT JOIN f ON f.id = p.id"""
 )
 def scalar_overall_quality(t: Tables) -> DataFrame:
     faces = t.faces.groupBy(F.col("photo_id").alias("id")).agg(F.max(F.col("width") * F.col("height")).alias("face"))
-    rows = t.photos.join(faces, "id", "left").filter("not isnan(sharpness_score + exposure_score + contrast_score + color_score + resolution_score) and sharpness_score + exposure_score + contrast_score + color_score + resolution_score is not null")
-    return rows.select("id", F.round(S.overall_quality("face"), 6).alias("quality"))
+    return t.photos.join(faces, "id", "left").select("id", F.round(S.overall_quality("face"), 6).alias("quality"))
 
 
 @query(
@@ -208,11 +218,11 @@ def scalar_oriented_size(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT id, round(greatest(0.0, least(1.0, ln(1 + sharpness_score) / ln(1201.0))), 6) AS sharpness, round(greatest(0.0, least(1.0, color_score / 90)), 6) AS color, round(greatest(0.0, least(1.0, ln(1 + width * height / 1e6) / ln(13.0))), 6) AS resolution
-FROM photos WHERE NOT isnan(sharpness_score) AND NOT isnan(color_score) AND width IS NOT NULL"""
+    """SELECT id, CASE WHEN NOT isnan(sharpness_score) THEN round(greatest(0.0, least(1.0, ln(1 + sharpness_score) / ln(1201.0))), 6) END AS sharpness, CASE WHEN NOT isnan(color_score) THEN round(greatest(0.0, least(1.0, color_score / 90)), 6) END AS color,
+CASE WHEN width IS NOT NULL AND height IS NOT NULL THEN round(greatest(0.0, least(1.0, ln(1 + width * height / 1e6) / ln(13.0))), 6) END AS resolution FROM photos"""
 )
 def scalar_metrics(t: Tables) -> DataFrame:
-    rows = t.photos.filter("sharpness_score is not null and not isnan(sharpness_score) and color_score is not null and not isnan(color_score) and width is not null")
+    rows = t.photos
     m = S.metric_scores(F.col("sharpness_score"), F.lit(0.5), F.lit(0.0), F.lit(0.1), F.col("color_score"), F.col("width") * F.col("height") / 1e6)
     return rows.select("id", *[F.round(m[f"{c}_score"], 6).alias(c) for c in ("sharpness", "color", "resolution")])
 
@@ -314,9 +324,9 @@ def keep_top(t: Tables) -> DataFrame:
     return K.keep_top(t.collection_photos, 1, 30)
 
 
-@query("SELECT p.id, f.id AS face_id, c.collection_id FROM photos p LEFT JOIN faces f ON f.photo_id = p.id LEFT JOIN collection_photos c ON c.photo_id = p.id WHERE p.active AND p.face_count > 2")
+@query("SELECT p.id, f.id AS face_id, c.collection_id FROM photos p LEFT JOIN faces f ON f.photo_id = p.id LEFT JOIN collection_photos c ON c.photo_id = p.id")
 def photo_detail(t: Tables) -> DataFrame:
-    p = t.photos.filter("active and face_count > 2").select("id")
+    p = t.photos.select("id")
     faces = t.faces.select(F.col("photo_id").alias("id"), F.col("id").alias("face_id"))
     return p.join(faces, "id", "left").join(t.collection_photos.select(F.col("photo_id").alias("id"), "collection_id"), "id", "left")
 
@@ -524,3 +534,23 @@ UNION ALL SELECT id, collection_id, photo_id, rank_no::INTEGER, decision FROM ke
 )
 def rebuild_links(t: Tables) -> DataFrame:
     return K.rebuild(t.collections, t.collection_photos, *_suggested(t), t.photos)[1].select("id", "collection_id", "photo_id", "rank_no", "decision")
+
+
+def _here(t: Tables) -> tuple[str, Settings]:
+    """The folder of the tables as a source, whose supported files are the tables'."""
+    return t.folder, Settings(supported_extensions=(".parquet",))
+
+
+@query()
+def source_listing(t: Tables) -> DataFrame:
+    return list_photos(t.spark, *_here(t)).select("relative_path", "file_name", "extension", "size_bytes", "warning")
+
+
+@query()
+def source_hashes(t: Tables) -> DataFrame:
+    return hashed_contents(t.spark, *_here(t))
+
+
+@query()
+def source_statistics(t: Tables) -> DataFrame:
+    return path_statistics(t.spark, t.folder)
