@@ -118,85 +118,254 @@ def place_clusters(photos: DataFrame, km: float = 25.0, least: int = 5) -> DataF
     return found.join(names, "label").select("id", "cluster_id")
 
 
-def _block_compare(rows: DataFrame, blocks: int, eps: float, dim: int, extra: str, kernel, schema: str) -> DataFrame:
-    """Run ``kernel(left, right, near)`` on each pair of blocks of ``rows`` (``id, v, extra``).
+def _unit(raw: bytes, dim: int) -> np.ndarray:
+    """Vectors of a block as float64 of length 1."""
+    x = np.frombuffer(raw, np.float32).astype(np.float64).reshape(-1, dim)
+    return x / np.linalg.norm(x, axis=1)[:, None]
 
-    ``left`` and ``right`` are dicts of numpy columns, ``near`` says which of them are within ``eps``
-    (never a row and itself). A row goes to as many tasks as there are blocks.
+
+def _gathered(x: np.ndarray, alike: float) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows of ``x`` by group, and the groups' sizes.
+
+    A row joins the leader it is most alike if their cosine is ``alike`` or more, else it becomes a leader.
+    """
+    group, leaders, n = np.empty(len(x), np.int64), np.empty_like(x), 0
+    for at in range(0, len(x), 512):
+        part = x[at : at + 512]
+        best = np.full(len(part), -2, np.float32)
+        mine = group[at : at + 512]
+        if n:
+            to = part @ leaders[:n].T
+            mine[:] = to.argmax(1)
+            best = to[np.arange(len(part)), mine]
+        while (best < alike).any():
+            new = int(np.flatnonzero(best < alike)[0])
+            leaders[n] = part[new]
+            to = part @ part[new]
+            to[new] = 2
+            mine[to > best], best = n, np.maximum(best, to)
+            n += 1
+    order = np.argsort(group, kind="stable")
+    sizes = np.bincount(group, minlength=n)
+    return order, sizes[sizes > 0]
+
+
+def _packed(rows: DataFrame, block: int, dim: int, alike: float = 0.8) -> DataFrame:
+    """Blocks ``k, ids, xs, sizes`` of rows (``id, v``): one row for up to ``block`` vectors, as bytes in order of groups.
+
+    Vectors next to the same two pivots are near each other in the order that blocks are cut from, so
+    that faces of a person share a block and a group. Where they don't, only time is lost.
+    """
+    few = max(1, math.ceil(rows.count() / block))
+    # one pivot a block
+    pivots = np.array([r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(max(2, few)).select("v").collect()], np.float32)
+    if len(pivots):
+        pivots = _unit(pivots.tobytes(), dim).astype(np.float32)
+
+    def flat(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                to = _unit(flat(batch).tobytes(), dim).astype(np.float32) @ pivots.T
+                first = to.argmax(1)
+                to[np.arange(len(to)), first] = -2
+                near = first * len(pivots) + to.argmax(1)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(near.astype(np.int64))], names=["id", "v", "near"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vs, held = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            own, raw = np.concatenate(ids), np.concatenate(vs)
+            order, sizes = _gathered(_unit(raw.tobytes(), dim).astype(np.float32), alike)
+            own, raw = own[order], raw[order]
+            names = ["k", "ids", "xs", "sizes"]  # ids are unique, so any one names its block
+            return pa.RecordBatch.from_arrays([pa.array([int(own.min())]), *[pa.array([x.tobytes()], pa.binary()) for x in (own, raw, sizes.astype(np.int64))]], names=names)
+
+        for batch in batches:
+            own, raw = batch.column("id").to_numpy(), flat(batch)
+            for at in range(0, len(own), block):
+                if held and held + len(own[at : at + block]) > 1.5 * block:
+                    yield out()
+                    ids, vs, held = [], [], 0
+                ids.append(own[at : at + block])
+                vs.append(raw[at : at + block])
+                held += len(ids[-1])
+        if held:
+            yield out()
+
+    ranged = rows.select("id", "v").mapInArrow(placed, "id long, v array<float>, near long").repartitionByRange(few, "near", "id")
+    return materialize(ranged.mapInArrow(pack, "k long, ids binary, xs binary, sizes binary"), "face-blocks")
+
+
+class _Linked:
+    """Links met so far between the vertices of two blocks: neighbours counted, cores joined.
+
+    A vertex with ``least - 1`` links here is a core whatever the other blocks hold. Links of two such cores are
+    joined at once and forgotten; any other link has an end with fewer links, so few are kept.
+    """
+
+    def __init__(self, n: int, least: int):
+        self.count, self.root, self.least = np.zeros(n, np.int64), np.arange(n), least
+        self.open: list[np.ndarray] = []
+
+    def _find(self, u: np.ndarray) -> np.ndarray:
+        r = self.root[u]
+        while (up := self.root[r]).tobytes() != r.tobytes():
+            r = up
+        self.root[u] = r
+        return r
+
+    def _join(self, u: np.ndarray, v: np.ndarray) -> None:
+        while len(u):
+            a, b = self._find(u), self._find(v)
+            apart = a != b
+            u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
+
+    def add(self, u: np.ndarray, v: np.ndarray, both: bool) -> None:
+        """Links from ``u`` to ``v``; with ``both`` they count for ``v`` too, else each comes a second time, turned."""
+        self.count += np.bincount(u, minlength=len(self.count))
+        if both:
+            self.count += np.bincount(v, minlength=len(self.count))
+        core = self.count >= self.least - 1
+        sure = core[u] & core[v]
+        self._join(u[sure], v[sure])
+        self.open.append(np.stack([u[~sure], v[~sure]]))
+
+    def rest(self) -> np.ndarray:
+        """The links with an end that isn't known to be a core; all others are joined."""
+        u, v = np.concatenate([np.empty((2, 0), np.int64), *self.open], axis=1)
+        core = self.count >= self.least - 1
+        sure = core[u] & core[v]
+        self._join(u[sure], v[sure])
+        self._find(np.arange(len(self.root)))
+        return np.stack([u[~sure], v[~sure]])
+
+
+def _near(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, least: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of ``x`` and ``y`` with a cosine of ``least`` or more, in parts; ``y`` comes in groups of ``sizes``.
+
+    A row that is farther from a group's centre than the group's radius and the limit together has none of
+    it near (angles obey the triangle inequality), so only other groups are looked into. Float32 decides
+    what it can for certain, float64 the rest.
+    """
+    slack = 1e-5
+    starts = np.cumsum(sizes) - sizes
+    centre = np.add.reduceat(y, starts, axis=0)
+    centre /= np.maximum(np.linalg.norm(centre, axis=1), 1e-9)[:, None]
+    cosine = np.minimum.reduceat(np.einsum("ij,ij->i", y, np.repeat(centre, sizes, axis=0)), starts)
+    reach = np.arccos(np.clip(cosine, -1, 1)) + math.acos(max(-1.0, min(1.0, least))) + 1e-4
+    bound = np.where(reach < math.pi, np.cos(np.minimum(reach, math.pi)), -2) - slack
+    x32, y32 = x.astype(np.float32), y.astype(np.float32)
+    # groups up to a multiple of eight, so that eight comparisons are looked at as one number
+    full = -len(sizes) % 8
+    centre = np.concatenate([centre, np.zeros((full, centre.shape[1]))]).astype(np.float32)
+    bound = np.concatenate([bound, np.full(full, 3)]).astype(np.float32)
+
+    def checked(u: np.ndarray, v: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = s >= least - slack
+        u, v, s = u[ok], v[ok], s[ok]
+        close = np.flatnonzero(s < least + slack)
+        ok = np.ones(len(u), bool)
+        for at in range(0, len(close), 1 << 16):
+            some = close[at : at + (1 << 16)]
+            ok[some] = np.einsum("ij,ij->i", x[u[some]], y[v[some]]) >= least
+        if same:
+            ok &= u != v
+        return u[ok], v[ok]
+
+    tile = max(64, min(2048, (1 << 22) // len(bound)))
+    for at in range(0, len(x), tile):
+        met = (x32[at : at + tile] @ centre.T >= bound).reshape(-1, 8)
+        eights = np.flatnonzero(met.view(np.uint64))
+        which, g = np.nonzero(met[eights])
+        r, g = np.divmod(eights[which] * 8 + g, len(bound))
+        r += at
+        large = sizes[g] > 64
+        for one in np.unique(g[large]):
+            mine = r[large & (g == one)]
+            members = np.arange(starts[one], starts[one] + sizes[one])
+            step = max(1, (1 << 21) // len(members))
+            for k in range(0, len(mine), step):
+                s = x32[mine[k : k + step]] @ y32[members].T
+                a, b = np.nonzero(s >= least - slack)
+                yield checked(mine[k : k + step][a], members[b], s[a, b])
+        r, g = r[~large], g[~large]
+        for k in range(0, len(r), 1024):
+            rs, n, first = r[k : k + 1024], sizes[g[k : k + 1024]], starts[g[k : k + 1024]]
+            u = np.repeat(rs, n)
+            v = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+            yield checked(u, v, np.einsum("ij,ij->i", x32[u], y32[v]))
+
+
+def _face_links(rows: DataFrame, eps: float, least: int, block: int, dim: int) -> DataFrame:
+    """``what, u, v`` of faces (``id, v``) within ``eps``: neighbour counts, forests of cores, and links that are open.
+
+    Each pair of blocks is one row of a product of the blocks with themselves, which reads both where they
+    lie and copies neither to disk. It gives ``count`` rows (a face and its neighbours in this pair), ``core`` rows (links of faces that
+    are cores by these alone, as a forest), and ``open`` rows (all links with another end).
     """
-    mine = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    to = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    spread = rows.select("id", "v", extra, mine.alias("mine"), to.alias("other")).select("id", "v", extra, "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-
-    def compare(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        i, j = (k.as_py() for k in key)
-        table = pa.Table.from_batches(list(batches))
-        own = table.column("mine").to_numpy()
-        x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-        x /= np.linalg.norm(x, axis=1)[:, None]
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        pick = lambda at: {c: table.column(c).to_numpy(zero_copy_only=False)[at] for c in ("id", extra)}
-        near = x[left] @ x[right].T >= 1 - eps
-        if i == j:
-            np.fill_diagonal(near, False)
-        out = kernel(pick(left), pick(right), near, i == j)
-        if len(out[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=[c.split()[0] for c in schema.split(", ")])
-
-    return spread.groupBy("i", "j").applyInArrow(compare, schema)
-
-
-def _count(left: dict, right: dict, near: np.ndarray, same: bool) -> tuple[np.ndarray, ...]:
-    if same:
-        return left["id"], near.sum(1).astype(np.int64)
-    return np.concatenate([left["id"], right["id"]]), np.concatenate([near.sum(1), near.sum(0)]).astype(np.int64)
-
-
-def _forest(left: dict, right: dict, near: np.ndarray, same: bool) -> tuple[np.ndarray, ...]:
-    """Each vertex with the smallest one it is linked to within this pair of blocks."""
-    top = np.iinfo(np.int64).max
-    a, b = left["id"].copy(), right["id"].copy()
-    while near.size:
-        to_b = np.minimum(b, np.where(near, a[:, None], top).min(0))
-        to_a = np.minimum(a, np.where(near, to_b[None, :], top).min(1))
-        if (to_a == a).all() and (to_b == b).all():
-            break
-        a, b = to_a, to_b
-    u, v = np.concatenate([left["id"], right["id"]]), np.concatenate([a, b])
-    return u[u != v], v[u != v]
-
-
-def _lowest(left: dict, right: dict, near: np.ndarray, same: bool) -> tuple[np.ndarray, ...]:
-    """For each face without label the lowest label near it (labels are -1 where there is none)."""
-    top = np.iinfo(np.int64).max
-    out = []
-    for x, y, n in ((left, right, near), (right, left, near.T)):
-        best = np.where(n & (y["label"] >= 0)[None, :], y["label"][None, :], top).min(1, initial=top)
-        ok = (x["label"] < 0) & (best < top)
-        out.append((x["id"][ok], best[ok]))
-    return np.concatenate([out[0][0], out[1][0]]), np.concatenate([out[0][1], out[1][1]])
-
-
-def face_clusters(faces: DataFrame, eps: float = 0.38, least: int = 3, block: int = 2000, dim: int = 128) -> DataFrame:
+    blocks = _packed(rows, block, dim)
+    side = lambda s: blocks.select(*[F.col(c).alias(f"{c}_{s}") for c in blocks.columns])
+    pairs = side("a").join(side("b").hint("shuffle_replicate_nl"), F.expr("k_a <= k_b"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                get = lambda c: batch.column(c)[at].as_buffer()  # noqa: E731, B023
+                same = batch.column("k_a")[at].as_py() == batch.column("k_b")[at].as_py()
+                ids = {s: np.frombuffer(get(f"ids_{s}"), np.int64) for s in "ab"}
+                sizes = {s: np.frombuffer(get(f"sizes_{s}"), np.int64) for s in "ab"}
+                x = {s: _unit(get(f"xs_{s}"), dim) for s in ("a" if same else "ab")}
+                own = ids["a"] if same else np.concatenate([ids["a"], ids["b"]])
+                linked = _Linked(len(own), least)
+                if same:
+                    for u, v in _near(x["a"], x["a"], sizes["a"], 1 - eps, True):
+                        linked.add(u, v, False)
+                else:
+                    # whichever side has larger groups is searched by group
+                    p, q = ("a", "b") if len(ids["a"]) * len(sizes["b"]) <= len(ids["b"]) * len(sizes["a"]) else ("b", "a")
+                    shift = {"a": 0, "b": len(ids["a"])}
+                    for u, v in _near(x[p], x[q], sizes[q], 1 - eps, False):
+                        linked.add(u + shift[p], v + shift[q], True)
+                u, v = linked.rest()
+                counted, joined = np.flatnonzero(linked.count), np.flatnonzero(linked.root != np.arange(len(own)))
+                parts = [("count", own[counted], linked.count[counted]), ("core", own[joined], own[linked.root[joined]]), ("open", own[u], own[v])]
+                for what, first, second in parts:
+                    if len(first):
+                        yield pa.RecordBatch.from_arrays([pa.array([what] * len(first)), pa.array(first), pa.array(second)], names=["what", "u", "v"])
+
+    return materialize(pairs.mapInArrow(compare, "what string, u long, v long"), "face-links")
+
+
+def face_clusters(faces: DataFrame, eps: float = 0.38, least: int = 3, block: int = 32_000, dim: int = 128) -> DataFrame:
     """``face_id, photo_id, cluster_id``: DBSCAN of faces by cosine distance, named by the smallest face.
 
     Vectors that are null, of wrong length, zero or not finite take no part, nor do negative or
-    null ids. All pairs are compared, block against block, in tasks of ``block`` rows a side; a task
-    hands on a row per face (neighbour counts, then a spanning forest, then labels), never its
-    pairs. The work grows with the square of the faces, as the exact rule asks for.
+    null ids. Every pair of faces is compared or ruled out by the distance of one to the other's group
+    (``_near``), block against block of up to ``block`` faces and once; a task hands on neighbour counts, a spanning forest and
+    the few links of faces that may not be cores, never its pairs. The work still grows with the square of the faces, divided by
+    the size of a group.
     """
     c = F.col("embedding")
     ok = (F.size(c) == dim) & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(c, lambda x: x != 0)
     good = faces.filter(F.coalesce(ok, F.lit(False)) & (F.col("id") >= 0))
     rows = materialize(good.select(F.col("id").cast("long").alias("id"), "photo_id", c.cast("array<float>").alias("v")).dropDuplicates(["id"]), "faces")
-    blocks = max(1, math.ceil(rows.count() / block))
-    counts = _block_compare(rows.withColumn("none", F.lit(0)), blocks, eps, dim, "none", _count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    found = _face_links(rows, eps, least, block, dim)
+    counts = found.filter("what = 'count'").groupBy(F.col("u").alias("id")).agg(F.sum("v").alias("n"))
+    if least <= 1:
+        counts = rows.select("id").join(counts, "id", "left").fillna(0, ["n"])
     core = materialize(counts.filter(F.col("n") + 1 >= least).select("id"), "core-faces")
-    links = _block_compare(rows.join(core, "id").withColumn("none", F.lit(0)), blocks, eps, dim, "none", _forest, "u long, v long")
-    roots = union_find(materialize(links, "face-links"), "u", "v")
+    end = lambda s: core.select(F.col("id").alias(s), F.lit(True).alias(f"core_{s}"))
+    open_ = materialize(found.filter("what = 'open'").join(end("u"), "u", "left").join(end("v"), "v", "left").select("u", "v", F.col("core_u").isNotNull().alias("cu"), F.col("core_v").isNotNull().alias("cv")), "open-links")
+    links = found.filter("what = 'core'").select("u", "v").unionByName(open_.filter("cu and cv").select("u", "v"))
+    roots = union_find(links, "u", "v")
     labelled = materialize(core.join(roots.withColumnRenamed("vertex", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("label")), "face-cores")
-    marked = rows.join(labelled, "id", "left").select("id", "v", F.coalesce("label", F.lit(-1)).alias("label"))
-    border = _block_compare(marked, blocks, eps, dim, "label", _lowest, "id long, label long").groupBy("id").agg(F.min("label").alias("label"))
+    at_border = open_.filter("cu != cv").select(F.when(F.col("cu"), F.col("v")).otherwise(F.col("u")).alias("at"), F.when(F.col("cu"), F.col("u")).otherwise(F.col("v")).alias("id"))
+    border = at_border.join(labelled, "id").groupBy(F.col("at").alias("id")).agg(F.min("label").alias("label"))
     labels = materialize(labelled.unionByName(border), "face-labels")
     names = labels.groupBy("label").agg(F.min("id").alias("cluster_id"), F.count("*").alias("n")).filter(F.col("n") >= least)
     return labels.join(names, "label").join(rows.select("id", "photo_id"), "id").select(F.col("id").alias("face_id"), "photo_id", "cluster_id")

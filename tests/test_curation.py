@@ -155,6 +155,39 @@ def test_face_clusters(spark):
     assert got == {**dict.fromkeys(range(5), 0), **dict.fromkeys(range(10, 15), 10)}
 
 
+def _dbscan(ids, x, eps, least):
+    """DBSCAN by brute force: the smallest face of each one's cluster."""
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 1 - eps
+    core = near.sum(1) >= least
+    label = {i: ids[i] for i in np.flatnonzero(core)}
+    changed = True
+    while changed:
+        new = {i: min(label[j] for j in np.flatnonzero(near[i] & core)) for i in label}
+        changed, label = new != label, new
+    full = label | {i: min(label[j] for j in np.flatnonzero(near[i] & core)) for i in np.flatnonzero(~core) if (near[i] & core).any()}
+    name = {c: min(ids[i] for i in full if full[i] == c) for c in set(full.values())}
+    return {ids[i]: name[c] for i, c in full.items()}
+
+
+def test_face_clusters_equal_brute_force_and_copy_no_block_per_block(spark):
+    """Chains, border faces, lone faces and one frequent person, in many blocks; vectors are shuffled a few times at most."""
+    rng = np.random.default_rng(8)
+    people = rng.standard_normal((60, 128))
+    who = np.concatenate([np.zeros(150, int), rng.integers(0, 60, 250)])
+    # noise at which most pairs of a person lie about the limit
+    x = (people[who] + rng.standard_normal((400, 128)) * rng.choice([0.3, 0.8, 1.0], 400)[:, None]).astype(np.float32)
+    x[399] = x[1]
+    ids = [int(i) for i in rng.permutation(1000)[:400]]
+    faces = spark.createDataFrame([(i, i, v.tolist()) for i, v in zip(ids, x)], "id long, photo_id long, embedding array<float>")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    got = {r.face_id: r.cluster_id for r in face_clusters(faces, block=50).collect()}
+    assert written() - before < 10 * x.nbytes
+    want = _dbscan(ids, x.astype(np.float64), 0.38, 3)
+    assert got == want and 50 < len(want) < 400 and len(set(want.values())) > 5
+
+
 def test_a_failing_builder_costs_only_itself_and_is_named(spark, monkeypatch):
     monkeypatch.setattr(C, "burst_members", lambda *a: 1 / 0)
     photos = _photos(spark, [_photo(k, _T0 + timedelta(seconds=10 * k)) for k in range(6)])
