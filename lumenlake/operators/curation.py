@@ -259,13 +259,16 @@ def near_duplicate_edges(photos: DataFrame, most: int = 7) -> DataFrame:
         raise ValueError("the chunk probes are complete up to 7 bits")
     value = F.lower(F.lpad(F.trim("perceptual_hash"), 16, "0"))
     rows = photos.filter(F.trim("perceptual_hash").rlike("^[0-9a-fA-F]{1,16}$")).select("id", "file_hash", value.alias("h"))
-    rows = rows.select("id", "file_hash", "h", *[F.conv(F.substring("h", 1 + 4 * c, 4), 16, 10).cast("int").alias(f"c{c}") for c in range(4)])
-    firsts = materialize(rows.groupBy("h").agg(F.min(F.struct("id", "file_hash")).alias("f"), *[F.first(f"c{c}").alias(f"c{c}") for c in range(4)]), "first-hashes")
-    chunk = lambda probe: F.explode(F.array(*[F.struct(F.lit(c).alias("c"), (F.col(f"c{c}").bitwiseXOR(F.lit(m)) if m else F.col(f"c{c}")).alias("v")) for c in range(4) for m in probe]))
-    kept = firsts.select("h", chunk([0]).alias("k")).select("h", "k.c", "k.v")
-    probes = firsts.select(F.col("h").alias("g"), chunk([0, *[1 << b for b in range(16)]]).alias("k")).select("g", "k.c", "k.v")
-    close = S.hex_distance("g", "h")
-    near = materialize(probes.join(kept, ["c", "v"]).filter(close <= most).select("g", "h").distinct(), "near-hashes")
+    # hashes as numbers: a string for each probe would be most of what is shuffled, and slow to compare
+    part = [F.conv(F.substring("h", 1 + 4 * c, 4), 16, 10).cast("long") for c in range(4)]
+    rows = rows.select("id", "file_hash", F.shiftleft(part[0], 48).bitwiseOR(F.shiftleft(part[1], 32)).bitwiseOR(F.shiftleft(part[2], 16)).bitwiseOR(part[3]).alias("h"))
+    firsts = materialize(rows.groupBy("h").agg(F.min(F.struct("id", "file_hash")).alias("f")), "first-hashes")
+    value = lambda c: F.shiftrightunsigned("h", 48 - 16 * c).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    chunk = lambda probe: F.explode(F.array(*[value(c).bitwiseXOR(F.lit(m | c << 16)) for c in range(4) for m in probe]))
+    kept = firsts.select("h", chunk([0]).alias("k"))
+    probes = firsts.select(F.col("h").alias("g"), chunk([0, *[1 << b for b in range(16)]]).alias("k"))
+    close = F.bit_count(F.col("g").bitwiseXOR(F.col("h")))
+    near = materialize(probes.join(kept, "k").filter(close <= most).select("g", "h").distinct(), "near-hashes")
     prior = near.join(firsts.select("h", F.col("f.id").alias("prior_id"), F.col("f.file_hash").alias("prior_hash")), "h").select("g", "prior_id", "prior_hash")
     linked = rows.select("id", "file_hash", F.col("h").alias("g")).join(prior, "g").filter("prior_id < id and not (coalesce(file_hash, '') != '' and coalesce(prior_hash, '') = file_hash)")
     return linked.select(F.col("id").alias("photo_id"), "prior_id")

@@ -155,6 +155,18 @@ def test_face_clusters(spark):
     assert got == {**dict.fromkeys(range(5), 0), **dict.fromkeys(range(10, 15), 10)}
 
 
+def test_near_duplicates_meet_as_numbers(spark, monkeypatch):
+    """All pairs up to seven bits apart, first bit set or not; the probes carry numbers, not text."""
+    rng, tables = random.Random(3), {}
+    monkeypatch.setattr(C, "materialize", lambda df, label, keep=C.materialize: tables.setdefault(label, keep(df, label)))
+    hashes = [rng.getrandbits(64) for _ in range(20)]
+    hashes += [h ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 9))) for h in hashes for _ in range(3)] + [(1 << 64) - 1, (1 << 63) - 1]
+    rows = [_photo(k, perceptual_hash=f"{h:016x}") for k, h in enumerate(hashes)]
+    got = {(r.photo_id, r.prior_id) for r in C.near_duplicate_edges(_photos(spark, rows)).collect()}
+    assert got == {(a, b) for a in range(len(hashes)) for b in range(a) if (hashes[a] ^ hashes[b]).bit_count() <= 7} and (81, 80) in got
+    assert {t for _, t in tables["near-hashes"].dtypes} == {"bigint"}
+
+
 def _dbscan(ids, x, eps, least):
     """DBSCAN by brute force: the smallest face of each one's cluster."""
     x = x / np.linalg.norm(x, axis=1)[:, None]
